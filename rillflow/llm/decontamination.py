@@ -54,6 +54,12 @@ class ContainmentIndex:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hashes & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
+    def shingles_of(self, hasher: Hasher, text: str | None) -> np.ndarray:
+        """All shingles of a document, and its runs as short as the index's short items."""
+        hashed = hasher.many(words_of(text))
+        short = [shingles(hashed[i : i + n], self.width) for n in self.short for i in range(len(hashed) - n + 1)]
+        return np.concatenate([shingles(hashed, self.width), *short])
+
     def matches(self, found: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item_id, item size, shingles shared) of each item that is contained; ``found`` are a document's shingles."""
         if not len(self.hashes):
@@ -111,13 +117,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
             def rows():
                 for batch in stream:
                     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                        words = words_of(text)
-                        if not words:
-                            continue
-                        hashed = hasher.many(words)
-                        found = shingles(hashed, own.width)
-                        short = [shingles(hashed[i : i + n], own.width) for n in own.short if n <= len(words) for i in range(len(words) - n + 1)] if own.short else []
-                        for item_id, size, shared in own.matches(np.concatenate([found, *short]) if short else found):
+                        for item_id, size, shared in own.matches(own.shingles_of(hasher, text)):
                             yield doc_id, item_id, size, shared, shared / size
 
             yield from batches(rows(), schema)
@@ -127,6 +127,17 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Ids of the documents that contain an item, each once."""
-    return contained_items(docs, items, **options).select("doc_id").distinct()
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, width: int = 5, threshold: float = 0.8, block_chars: int = 16_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that contain no item: no row moves, each block of items is one more sieve."""
+    at = docs.columns.index("text")
+    for block in item_blocks(items, block_chars):
+        index = docs.sparkSession.sparkContext.broadcast(ContainmentIndex(block, width, threshold))
+
+        def sieve(stream: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            hasher, own = Hasher(), index.value
+            for batch in stream:
+                clean = [next(own.matches(own.shingles_of(hasher, t)), None) is None for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(sieve, docs.schema)
+    return docs

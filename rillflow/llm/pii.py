@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import crf
 from .common import batches, id_text
@@ -421,7 +420,3 @@ def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)
-
-
-def redact_table(docs: DataFrame) -> DataFrame:
-    return redact(docs.select(*[F.col(c) for c in docs.columns]), fit_pii())
