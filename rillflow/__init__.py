@@ -1,0 +1 @@
+"""rillflow: event pipelines as DataFrame graphs, with a JSON-path expression language and an embedded SQL dialect."""
