@@ -384,7 +384,7 @@ def write_dead_letters(errors: DataFrame, prefix: str, *, key: str | None = None
     """Failed events in the dead-letter layout, partitioned by day and hour; Avro where its format is installed, else Parquet."""
     now = F.current_timestamp()
     rows = errors.select(F.unix_millis(now).alias("processingTimestamp"), F.lit(key).cast("binary").alias("key"), F.col("event").cast("binary").alias("value"), F.create_map().cast("map<string,string>").alias("metadata"), "errorMessage", (F.col("nodeId") if "nodeId" in errors.columns else F.lit(None).cast("string")).alias("nodeId"), F.date_format(now, "yyyy-MM-dd").alias("dt"), F.date_format(now, "HH").alias("hr"))
-    kind = "avro" if has_format(errors, "org.apache.spark.sql.avro.AvroFileFormat") else "parquet"
+    kind = "avro" if has_format(errors, "org.apache.spark.sql.v2.avro.AvroDataSourceV2") else "parquet"
     rows.write.format(kind).mode("append").partitionBy("dt", "hr").save(f"{prefix.rstrip('/')}/dead-letters")
 
 
