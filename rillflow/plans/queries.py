@@ -88,7 +88,7 @@ def node_sqleval(spark, d):
     return Flow.start().sql("select o_orderpriority as p, count(*) as n, sum(o_totalprice) as total from records group by o_orderpriority").result(table(spark, d, "orders"))
 
 
-@query("dag_fan_out_merge", "SELECT n_nationkey AS num, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM nation UNION ALL SELECT n_nationkey, 'all' FROM nation")
+@query("dag_fan_out_merge", "SELECT n_nationkey::BIGINT AS num, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'all' FROM nation")
 def dag_fan_out_merge(spark, d):
     even = Flow.start().filter("$.n_nationkey % 2 == 0").eval("dict(type='even', num=$.n_nationkey)")
     odd = Flow.start().filter("$.n_nationkey % 2 == 1").eval("dict(type='odd', num=$.n_nationkey)")
@@ -118,10 +118,10 @@ def dag_error_output(spark, d):
 
 # --- expression operators -------------------------------------------------------------------------
 
-evals("expr_logical", "lineitem", "dict(k=$.l_orderkey, n=$.l_linenumber, a=$.l_quantity > 25 and $.l_tax > 0.02, o=$.l_quantity > 45 or null, x=not ($.l_tax > 0.02))", "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity > 25 AND l_tax > 0.02 AS a, l_quantity > 45 AS o, NOT (l_tax > 0.02) AS x FROM lineitem")
-evals("expr_equality", "lineitem", "dict(k=$.l_orderkey, n=$.l_linenumber, e=$.l_discount == 0.05, d=$.l_linenumber != 3, s=$.l_returnflag == 'A', m=$.l_returnflag == 1, z=$.nope == null)", "SELECT l_orderkey AS k, l_linenumber AS n, abs(l_discount - 0.05) <= 1e-6 AS e, l_linenumber <> 3 AS d, l_returnflag = 'A' AS s, false AS m, true AS z FROM lineitem")
+evals("expr_logical", "lineitem", "dict(k=$.l_orderkey, n=$.l_linenumber, a=$.l_quantity > 25 and $.l_tax > 0.02, o=$.l_quantity > 45 or null, x=not ($.l_tax > 0.02))", "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_quantity > 25 AND l_tax > 0.02 AS a, l_quantity > 45 AS o, NOT (l_tax > 0.02) AS x FROM lineitem")
+evals("expr_equality", "lineitem", "dict(k=$.l_orderkey, n=$.l_linenumber, e=$.l_discount == 0.05, d=$.l_linenumber != 3, s=$.l_returnflag == 'A', m=$.l_returnflag == 1, z=$.nope == null)", "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, abs(l_discount - 0.05) <= 1e-6 AS e, l_linenumber <> 3 AS d, l_returnflag = 'A' AS s, false AS m, true AS z FROM lineitem")
 evals("expr_compare", "customer", "dict(k=$.c_custkey, lt=$.c_nationkey < 10, le=$.c_nationkey <= 10, gt=$.c_acctbal > 0, ge=$.c_name >= 'Customer#000000100')", "SELECT c_custkey AS k, c_nationkey < 10 AS lt, c_nationkey <= 10 AS le, c_acctbal > 0 AS gt, c_name >= 'Customer#000000100' AS ge FROM customer")
-evals("expr_arithmetic", "lineitem", "dict(k=$.l_orderkey, n=$.l_linenumber, p=$.l_extendedprice * (1 - $.l_discount) * (1 + $.l_tax), q=$.l_linenumber / 2, r=$.l_orderkey % 7, i=$.l_linenumber * 3 - 1, s=$.l_returnflag + $.l_linestatus, u=-$.l_linenumber)", "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS p, l_linenumber / 2.0::DOUBLE AS q, l_orderkey % 7 AS r, (l_linenumber * 3 - 1)::BIGINT AS i, l_returnflag || l_linestatus AS s, (-l_linenumber)::BIGINT AS u FROM lineitem")
+evals("expr_arithmetic", "lineitem", "dict(k=$.l_orderkey, n=$.l_linenumber, p=$.l_extendedprice * (1 - $.l_discount) * (1 + $.l_tax), q=$.l_linenumber / 2, r=$.l_orderkey % 7, i=$.l_linenumber * 3 - 1, s=$.l_returnflag + $.l_linestatus, u=-$.l_linenumber)", "SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS p, l_linenumber / 2.0::DOUBLE AS q, l_orderkey % 7 AS r, (l_linenumber * 3 - 1)::BIGINT AS i, l_returnflag || l_linestatus AS s, (-l_linenumber)::BIGINT AS u FROM lineitem")
 evals("expr_case", "part", 'dict(k=$.p_partkey, size=case($.p_size < 10 => "s", $.p_size < 30 => "m", _ => "l"))', "SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 's' WHEN p_size < 30 THEN 'm' ELSE 'l' END AS size FROM part")
 evals("expr_paths", "embeddings", 'dict(k=$.vec_id, first=$.embedding[0], third=$["embedding"][1 + 1], past=$.embedding[100000] == null, none=$.label.x == null)', "SELECT vec_id AS k, embedding[1]::DOUBLE AS first, embedding[3]::DOUBLE AS third, true AS past, true AS none FROM embeddings")
 evals("expr_dict_nested", "supplier", 'dict(a=dict(x=$.s_suppkey, y=dict(z=$.s_name))["y"].z, "b.c"=$.s_nationkey, d::e=1.5)', "SELECT s_name AS a, s_nationkey::BIGINT AS \"b.c\", 1.5::DOUBLE AS \"d::e\" FROM supplier")
@@ -176,7 +176,7 @@ query("fn_python", "SELECT n_nationkey::BIGINT AS k, n_name || '/' || (n_regionk
 # --- SQL: relations -------------------------------------------------------------------------------
 
 sqls("sql_project_extend_rename", "select c_custkey as k, c_name, c_acctbal * 2 as twice from customer where c_mktsegment = 'BUILDING'")
-sqls("sql_star", "select * from nation")
+sqls("sql_star", "select * from nation", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 sqls("sql_empty_from", "select 1 + 1 as two, 'x' as t", "SELECT 2::BIGINT AS two, 'x' AS t")
 sqls("sql_cross_product", "select a.r_name as a, b.r_name as b from region a, region b")
 sqls("sql_comma_join", "select n.n_name, r.r_name from nation n, region r where n.n_regionkey = r.r_regionkey")
@@ -187,7 +187,7 @@ sqls("sql_select_list_function", "select p_partkey as k, json_array_elements(reg
 sqls("sql_lateral_zip", "select p_partkey as k, json_array_elements(regexp_split_to_array(p_name, ' ')) as w, json_array_elements(regexp_split_to_array('1,2,3', ',')) as n from part", "SELECT p_partkey AS k, string_split(p_name, ' ')[i] AS w, ['1', '2', '3'][i] AS n FROM part, (SELECT unnest(range(1, 4)) AS i)")
 sqls("sql_lateral_subselect", "select e.vec_id as v, t.top from embeddings e, lateral (select max(x) as top from json_array_elements(e.embedding) x) t", "SELECT vec_id AS v, list_max(embedding)::DOUBLE AS top FROM embeddings")
 sqls("sql_regexp_split_to_table", "select count(*) as n from part, regexp_split_to_table(p_name, ' ')", "SELECT sum(len(string_split(p_name, ' ')))::BIGINT AS n FROM part")
-sqls("sql_derived_table", "select x.n_regionkey as r, x.n from (select n_regionkey, count(*) as n from nation group by n_regionkey) x where x.n > 4", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 4")
+sqls("sql_derived_table", "select x.n_regionkey as r, x.n from (select n_regionkey, count(*) as n from nation group by n_regionkey) x where x.n > 4", "SELECT n_regionkey::BIGINT AS r, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 4")
 sqls("sql_group_by", "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as q, min(l_tax) as lo, max(l_extendedprice) as hi from lineitem group by l_returnflag, l_linestatus")
 sqls("sql_group_by_expression", "select upper(l_returnflag) as f, sum(l_linenumber) as n from lineitem group by upper(l_returnflag)", "SELECT upper(l_returnflag) AS f, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")
 sqls("sql_group_by_constant", "select count(*) as n from orders group by 1", "SELECT count(*) AS n FROM orders")
@@ -195,27 +195,27 @@ sqls("sql_implicit_group", "select count(*) as n, sum(o_totalprice) as s from or
 sqls("sql_implicit_group_empty", "select count(*) as n from orders where o_totalprice < 0", "SELECT count(*) AS n FROM orders WHERE false GROUP BY o_orderkey")
 sqls("sql_aggregate_distinct", "select o_orderpriority as p, count(distinct o_custkey) as c, sum(distinct o_custkey) as s from orders group by o_orderpriority", "SELECT o_orderpriority AS p, count(DISTINCT o_custkey) AS c, sum(DISTINCT o_custkey)::BIGINT AS s FROM orders GROUP BY o_orderpriority")
 sqls("sql_avg", "select o_orderpriority as p, avg(o_totalprice) as a from orders group by o_orderpriority")
-sqls("sql_string_agg", "select n_regionkey as r, length(string_agg(n_name, '; ')) as n from nation group by n_regionkey", "SELECT n_regionkey AS r, length(string_agg(n_name, '; ')) AS n FROM nation GROUP BY n_regionkey")
-sqls("sql_json_agg", "select n_regionkey as r, json_array_length(json_agg(json_build_object('n', n_name))) as n from nation group by n_regionkey", "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY n_regionkey")
+sqls("sql_string_agg", "select n_regionkey as r, length(string_agg(n_name, '; ')) as n from nation group by n_regionkey", "SELECT n_regionkey::BIGINT AS r, length(string_agg(n_name, '; ')) AS n FROM nation GROUP BY n_regionkey")
+sqls("sql_json_agg", "select n_regionkey as r, json_array_length(json_agg(json_build_object('n', n_name))) as n from nation group by n_regionkey", "SELECT n_regionkey::BIGINT AS r, count(*) AS n FROM nation GROUP BY n_regionkey")
 sqls("sql_distinct", "select distinct l_returnflag, l_linestatus from lineitem")
 sqls("sql_distinct_on", "select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 sqls("sql_order_limit", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
-sqls("sql_having", "select c_nationkey as n, count(*) as c from customer group by c_nationkey having count(*) > 60")
+sqls("sql_having", "select c_nationkey as n, count(*) as c from customer group by c_nationkey having count(*) > 60", "SELECT c_nationkey::BIGINT AS n, count(*) AS c FROM customer GROUP BY c_nationkey HAVING count(*) > 60")
 
 # --- SQL: expressions -----------------------------------------------------------------------------
 
 sqls("sql_arithmetic", "select p_partkey as k, p_size + 2.7 as a, 2.5 + p_size as b, p_size / 4 as c, p_size % 7 as d, p_size ^ 2 as e, 7 - p_size * 2 as f from part", "SELECT p_partkey AS k, (p_size + 2)::BIGINT AS a, (2.5::DOUBLE + p_size) AS b, (p_size // 4)::BIGINT AS c, (p_size % 7)::BIGINT AS d, (p_size * p_size)::BIGINT AS e, (7 - p_size * 2)::BIGINT AS f FROM part")
 sqls("sql_concat_operator", "select n_name || '-' || n_nationkey as c from nation")
 sqls("sql_boolean_logic", "select p_partkey as k from part where p_size > 40 or p_size < 3 and p_retailprice > 950", "SELECT p_partkey AS k FROM part WHERE (p_size > 40 OR p_size < 3) AND p_retailprice > 950")
-sqls("sql_not_is_null", "select n_nationkey as k, not null as t, n_name is null as a, n_name is not null as b from nation", "SELECT n_nationkey AS k, true AS t, false AS a, true AS b FROM nation")
+sqls("sql_not_is_null", "select n_nationkey as k, not null as t, n_name is null as a, n_name is not null as b from nation", "SELECT n_nationkey::BIGINT AS k, true AS t, false AS a, true AS b FROM nation")
 sqls("sql_like", "select p_partkey as k from part where p_name like 'red%' or p_name ilike '%WIDGET'")
 sqls("sql_not_like_in_between", "select p_partkey as k from part where p_name not like 'red%' and p_size in (1, 2, 3) and p_retailprice between 900 and 960")
 sqls("sql_case", "select p_partkey as k, case when p_size < 10 then 'small' when p_size < 30 then 'medium' end as c from part")
-sqls("sql_casts", "select n_nationkey as k, n_nationkey::text as t, '12'::int as i, '1.5'::double precision as d, 'yes'::boolean as b, null::int as z, null::boolean as f from nation", "SELECT n_nationkey AS k, n_nationkey::VARCHAR AS t, 12::BIGINT AS i, 1.5::DOUBLE AS d, true AS b, 0::BIGINT AS z, false AS f FROM nation")
+sqls("sql_casts", "select n_nationkey as k, n_nationkey::text as t, '12'::int as i, '1.5'::double precision as d, 'yes'::boolean as b, null::int as z, null::boolean as f from nation", "SELECT n_nationkey::BIGINT AS k, n_nationkey::VARCHAR AS t, 12::BIGINT AS i, 1.5::DOUBLE AS d, true AS b, 0::BIGINT AS z, false AS f FROM nation")
 sqls("sql_json_get", "select event_id as k, props->>'k' as s, (props->'k')::int as i, props->'nope' is null as n from events", "SELECT event_id AS k, props::JSON->>'k' AS s, (props::JSON->>'k')::BIGINT AS i, true AS n FROM events")
 sqls("sql_json_cast", "select event_id as k, props::json->>'k' as s from events", "SELECT event_id AS k, props::JSON->>'k' AS s FROM events")
 sqls("sql_case_insensitive", "select N.N_NAME as n from Nation N where n.N_RegionKey = 1", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
-sqls("sql_auto_names", "select n_nationkey, n_regionkey * 2, upper(n_name) from nation", "SELECT n_nationkey, (n_regionkey * 2)::BIGINT AS col_1, upper(n_name) AS col_2 FROM nation")
+sqls("sql_auto_names", "select n_nationkey, n_regionkey * 2, upper(n_name) from nation", "SELECT n_nationkey::BIGINT AS n_nationkey, (n_regionkey * 2)::BIGINT AS col_1, upper(n_name) AS col_2 FROM nation")
 
 # --- SQL: functions -------------------------------------------------------------------------------
 
@@ -224,7 +224,7 @@ sqls("sql_fn_trims", "select n_name as k, ltrim(concat('  ', n_name)) as a, rtri
 sqls("sql_fn_regexp", "select p_partkey as k, split_part(p_name, ' ', 2) as a, regexp_replace(p_name, '[aeiou]', '') as b, json_array_length(regexp_matches(p_name, '[a-z]+')) as c, json_array_length(regexp_split_to_array(p_name, 'i')) as d from part", "SELECT p_partkey AS k, split_part(p_name, ' ', 2) AS a, regexp_replace(p_name, '[aeiou]', '', 'g') AS b, len(regexp_extract_all(p_name, '[a-z]+'))::BIGINT AS c, len(string_split(rtrim(p_name, 'i'), 'i'))::BIGINT AS d FROM part")
 sqls("sql_fn_format", "select p_partkey as k, format('%5d|', p_size) as a, concat_ws('-', p_brand, p_type) as b, md5(p_name) as c, to_hex(p_size) as d, to_hex(-1) as e from part", "SELECT p_partkey AS k, lpad(p_size::VARCHAR, 5, ' ') || '|' AS a, p_brand || '-' || p_type AS b, md5(p_name) AS c, lower(hex(p_size)) AS d, 'ffffffff' AS e FROM part")
 sqls("sql_fn_grok", "select c_custkey as k, grok('%{WORD:kind}#%{INT:num}', c_name)->>'num' as n from customer", "SELECT c_custkey AS k, split_part(c_name, '#', 2) AS n FROM customer")
-sqls("sql_fn_json", "select n_nationkey as k, json_build_object('a', n_name, 'b', n_regionkey)->>'a' as a, json_array_length(regexp_split_to_array('a,b,c', ',')) as n, json_array_length(n_name) as z from nation", "SELECT n_nationkey AS k, n_name AS a, 3::BIGINT AS n, 0::BIGINT AS z FROM nation")
+sqls("sql_fn_json", "select n_nationkey as k, json_build_object('a', n_name, 'b', n_regionkey)->>'a' as a, json_array_length(regexp_split_to_array('a,b,c', ',')) as n, json_array_length(n_name) as z from nation", "SELECT n_nationkey::BIGINT AS k, n_name AS a, 3::BIGINT AS n, 0::BIGINT AS z FROM nation")
 sqls("sql_fn_rounding", "select c_custkey as k, round(c_acctbal) as a, trunc(c_acctbal) as b, ceil(c_acctbal) as c, floor(c_acctbal) as d, abs(c_acctbal) as e, sign(c_acctbal) as f, round(-2.5) as g from customer", "SELECT c_custkey AS k, floor(c_acctbal + 0.5)::BIGINT AS a, floor(c_acctbal)::BIGINT AS b, ceil(c_acctbal) AS c, floor(c_acctbal) AS d, abs(c_acctbal) AS e, sign(c_acctbal)::DOUBLE AS f, -2::BIGINT AS g FROM customer")
 sqls("sql_fn_round_digits", "select p_partkey as k, round(p_retailprice, 0) as a, trunc(p_retailprice / 8, 2) as b from part", "SELECT p_partkey AS k, floor(p_retailprice * 1.0::DOUBLE + 0.5) AS a, floor(p_retailprice / 8 * 100.0::DOUBLE) / 100.0::DOUBLE AS b FROM part")
 sqls("sql_fn_math", "select p_partkey as k, sqrt(p_size) as a, power(p_size, 2) as b, mod(p_size, 5) as c, gcd(p_size, 12) as d, lcm(p_size, 4) as e from part", "SELECT p_partkey AS k, sqrt(p_size) AS a, (p_size * p_size)::DOUBLE AS b, (p_size % 5)::DOUBLE AS c, gcd(p_size, 12)::BIGINT AS d, lcm(p_size, 4)::BIGINT AS e FROM part")
