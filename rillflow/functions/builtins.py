@@ -578,7 +578,7 @@ def dict_merge(*values):
     for v in real:
         for f in v.type:
             new, old = v.col.getField(f.name), fields.get(f.name)
-            if old is None:
+            if old is None or repr(v.col).startswith("Column<'struct("):  # a constructed record is never null
                 fields[f.name] = Value(new, f.dataType)
             else:
                 t = unified(old.type, f.dataType)

@@ -45,6 +45,11 @@ class Scope:
                 if visible.lower() == name or r.scalar and (r.alias or "").lower() == name:
                     hits.append((stored, t))
                     break
+            else:  # a member of a set-returning function's record
+                if r.scalar and table is not None and isinstance(t := r.columns[0][2], T.StructType):
+                    f = next((f for f in t if f.name.lower() == name), None)
+                    if f is not None:
+                        return Value(F.col(quoted(r.columns[0][1])).getField(f.name), f.dataType)
         if table is None and not hits:  # a bare name may be a relation: its value, or its record
             for r in self.relations:
                 if (r.alias or "").lower() == name and not r.scalar:

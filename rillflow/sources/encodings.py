@@ -28,7 +28,7 @@ def read_files(spark: SparkSession, path, encoding: str, *, schema: T.StructType
         corrupt = schema is not None and "_corrupt_record" in str(schema)
         return reader.option("mode", "PERMISSIVE" if corrupt else "FAILFAST").json(path)
     if encoding in ("STRING_LINE", "TEXT"):
-        return reader.option("wholetext", encoding == "TEXT").text(path).withColumnRenamed("value", RAW)
+        return reader.text(path, wholetext=encoding == "TEXT").withColumnRenamed("value", RAW)
     if encoding == "XML":
         if not (options or {}).get("rowTag"):
             raise ExpressionError("XML files need options.rowTag, the element that is one event")
