@@ -71,6 +71,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150
     return w
 
 
+def unseen_scores(p: np.ndarray, u: np.ndarray, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of positives against unlabelled, each from a scorer that was fitted without its row."""
+    out = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(folds):
+        hp, hu = np.arange(len(p)) % folds == k, np.arange(len(u)) % folds == k
+        a, b = p[~hp], u[~hu]
+        if not len(a) or not len(b):
+            continue
+        w = logistic(np.vstack([a, b]), np.r_[np.ones(len(a)), np.zeros(len(b))], np.r_[np.full(len(a), 0.5 / len(a)), np.full(len(b), 0.5 / len(b))])
+        out[0][hp], out[1][hu] = p[hp] @ w, u[hu] @ w
+    return out
+
+
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Smallest ratio of the share of unlabelled to that of positive scores above a threshold, where at least half the positives lie, each with a margin for chance."""
     best = 1.0
@@ -132,10 +145,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, un
     mean, dev = u.mean(0), np.maximum(u.std(0), 1e-3)
     one = lambda x: np.hstack([np.clip((x - mean) / dev, -8, 8), np.ones((len(x), 1))])
     zp, zu = one(p), one(u)
-    x = np.vstack([zp, zu])
-    y = np.r_[np.ones(len(zp)), np.zeros(len(zu))]
-    w = logistic(x, y, np.r_[np.full(len(zp), 0.5 / len(zp)), np.full(len(zu), 0.5 / len(zu))])
-    prior = class_prior(zp @ w, zu @ w)
+    prior = class_prior(*unseen_scores(zp, zu))
     w = non_negative_fit(zp, zu, prior)
     return QualityModel(mean, dev, w[:-1], float(w[-1]), prior)
 
