@@ -52,8 +52,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows that cross to Python at once: texts are long, so Spark's 10,000 would be too many
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the rows and bytes of the session's Arrow batches (never raising what the user set)."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only the columns an operator reads; extra columns, whatever their names, take no part."""
+    in_small_batches(docs)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
@@ -117,3 +132,29 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def bit_array(cells: DataFrame, bits: int) -> np.ndarray:
+    """The low ``bits`` of a column of hashes as a bit array, joined on the driver from words made by the tasks."""
+    sliced = cells.selectExpr(f"`{cells.columns[0]}` & {(1 << bits) - 1}L AS at").groupBy(F.expr("shiftright(at, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 AS int)))").alias("mask"))
+
+    def dense(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            at, mask = np.asarray(batch.column("word")).astype("<u4"), np.asarray(batch.column("mask")).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], names=["at", "mask"])
+
+    out = np.zeros(1 << max(0, bits - 5), np.uint32)
+    for row in sliced.mapInArrow(dense, "at binary, mask binary").toLocalIterator():
+        out[np.frombuffer(row[0], "<u4")] |= np.frombuffer(row[1], "<u4")
+    return out
+
+
+class BitTest:
+    """Whether hashes are in a bit array; others may be too, which costs work but changes no result."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __call__(self, cells: np.ndarray) -> np.ndarray:
+        at = cells & (len(self.words) * 32 - 1)
+        return (self.words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, batches, shingles
+from .common import U64, Hasher, batches, id_text, in_small_batches, shingles
 
 WORD = re.compile(r"[^\W_]+")
 FILTER_BITS = 22
@@ -105,7 +105,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
     ``block_chars`` characters) is broadcast and met by one pass over the documents.
     """
     spark = docs.sparkSession
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    source = id_text(docs)
     out = None
     for block in item_blocks(items, block_chars):
         index = spark.sparkContext.broadcast(ContainmentIndex(block, width, threshold))
@@ -129,7 +129,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, width: int = 5, threshold: float = 0.8, block_chars: int = 16_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item: no row moves, each block of items is one more sieve."""
-    at = docs.columns.index("text")
+    at = in_small_batches(docs).columns.index("text")
     for block in item_blocks(items, block_chars):
         index = docs.sparkSession.sparkContext.broadcast(ContainmentIndex(block, width, threshold))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import crf
-from .common import batches, id_text
+from .common import batches, id_text, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = (*KINDS, "secret")
@@ -403,7 +403,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by [EMAIL], [IP], ...; n_chars, where there is one, follows the text. Null stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, schema = docs.columns, docs.schema
+    names, schema = in_small_batches(docs).columns, docs.schema
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

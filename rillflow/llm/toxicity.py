@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, id_text
+from .common import batches, held_out, id_text, in_small_batches
 from .sampling import class_share, labelled_ids, labelled_texts
 
 WORD = re.compile(r"[^\W_]+")
@@ -254,7 +254,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = in_small_batches(docs).columns.index("text")
 
     def sieve(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, keep, scratch_path
+from .common import batches, in_small_batches, keep, scratch_path
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 U32, U16 = 0xFFFFFFFF, 0xFFFF
@@ -169,7 +169,7 @@ def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def payloads(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, sha: null html is an empty payload."""
-    body = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
+    body = F.coalesce(in_small_batches(pages)["html"].cast("string"), F.lit("")).cast("binary")
     return pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), body.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
 
 
