@@ -1,0 +1 @@
+"""The expression language and the SQL functions."""

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from . import syntax as S
 from .grok import compile_grok
 from .syntax import ExpressionError
-from .values import BOOL, DOUBLE, LONG, NULL, STRING, VARIANT, Value, as_type, converted, event_value, expect, fail_if, failing, has_nested_null, kind_of, literal, narrowed, storable, text_of, unified
+from .values import BOOL, DOUBLE, LONG, NULL, STRING, VARIANT, Value, as_type, converted, event_value, expect, fail_if, failing, has_nested_null, literal, narrowed, storable, text_of, unified
 
 FUNCTIONS: dict[str, Callable] = {}
 

@@ -1,0 +1 @@
+"""Nodes of a pipeline."""

@@ -1,0 +1 @@
+"""Graphs, the builder, SQL plans and registered queries."""

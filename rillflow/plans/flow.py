@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .dag import Dag, Node, Run, bag_union, execute, plan
+from .dag import Dag, Node, Run, execute, plan
 
 _serial = itertools.count(1)
 
@@ -125,6 +125,3 @@ class Flow:
         request = urllib.request.Request(f"{base_url.rstrip('/')}/api/v1/workflows", data=body, headers={"Content-Type": "application/json"})
         with urllib.request.urlopen(request) as r:  # noqa: S310
             return json.loads(r.read())["id"]
-
-
-__all__ = ["Flow", "bag_union"]

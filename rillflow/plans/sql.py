@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions import sql_functions as fn
 from ..functions.compiler import quoted
-from ..functions.sql_syntax import AGGREGATES, SET_FUNCTIONS, Cast, Col, Func, Item, Lit, Op, Select, Source, Star, When, parse_sql
+from ..functions.sql_syntax import AGGREGATES, SET_FUNCTIONS, Cast, Col, Func, Item, Lit, Op, Select, Star, When, parse_sql
 from ..functions.syntax import ExpressionError
-from ..functions.values import BOOL, DOUBLE, LONG, NULL, STRING, Value, converted, kind_of, literal, storable, unified
+from ..functions.values import BOOL, DOUBLE, LONG, STRING, Value, converted, kind_of, literal, storable, unified
 
 
 @dataclass

@@ -1,0 +1 @@
+"""Pipelines on Structured Streaming."""

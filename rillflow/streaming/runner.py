@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.dag import Dag, Run, dead_letter_path, plan
-from ..sources.inputs import read, sql_literal
+from ..sources.inputs import read
 from ..sources.outputs import write, write_dead_letters
 
 
@@ -69,6 +69,3 @@ def poll_jdbc(spark: SparkSession, config: dict, load: Callable[[], object], sav
         return row[0]
     finally:
         df.unpersist()
-
-
-__all__ = ["poll_jdbc", "reachable", "run_stream", "sql_literal"]
