@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import re
+import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,8 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_LEFT: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rillflow-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one. What lies there serves lazy results, so it is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/rillflow-{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
+    return path
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Local paths go directly, as the JVM may have ended already; others while it lives."""
+    for path in _LEFT:
+        if path.startswith("file:") or "://" not in path:
+            shutil.rmtree(re.sub("^file:(//)?", "", path), ignore_errors=True)
+        elif (spark := SparkSession.getActiveSession()) is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +67,13 @@ def discard(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _LEFT.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, U64, Hasher, batches, binary_column, discard, id_text, keep, mix
+from .common import MIX, U64, BitTest, Hasher, batches, binary_column, bit_array, discard, id_text, keep, mix
 
 ANCHOR = 8
 CELL_BITS = 40
@@ -132,32 +132,6 @@ def repeated_cells(source: DataFrame, width: int) -> DataFrame:
     return sketches.groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2").select("cell")
 
 
-def bit_array(cells: DataFrame, bits: int) -> np.ndarray:
-    """The cells' low ``bits`` as a bit array, joined on the driver from slices of 2**16 bits made by the tasks."""
-    sliced = cells.selectExpr(f"cell & {(1 << bits) - 1}L AS at").groupBy(F.expr("shiftright(at, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 AS int)))").alias("mask"))
-
-    def dense(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            at, mask = np.asarray(batch.column("word")).astype("<u4"), np.asarray(batch.column("mask")).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], names=["at", "mask"])
-
-    out = np.zeros(1 << max(0, bits - 5), np.uint32)
-    for row in sliced.mapInArrow(dense, "at binary, mask binary").toLocalIterator():
-        out[np.frombuffer(row[0], "<u4")] |= np.frombuffer(row[1], "<u4")
-    return out
-
-
-class BitTest:
-    """Whether cells are in a bit array; other cells may be too, which costs work but changes no result."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __call__(self, cells: np.ndarray) -> np.ndarray:
-        at = cells & (len(self.words) * 32 - 1)
-        return (self.words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
-
-
 def own_cells(source: DataFrame, cells: DataFrame, width: int) -> DataFrame:
     """rid, own: the repeated cells of each document that has any, as sorted longs in binary."""
 

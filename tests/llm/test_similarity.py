@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
