@@ -126,7 +126,7 @@ def test_quality_on_the_held_out_fold(spark):
     assert sum(p == y for p, y in held) / len(held) >= 0.8
     good = [got[i]["score"] for i, y in truth(spark, "quality").items() if i in got and crc_fold(i) and y]
     bad = [got[i]["score"] for i, y in truth(spark, "quality").items() if i in got and crc_fold(i) and not y]
-    assert np.mean([g > b for g in good for b in bad]) >= 0.9
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) >= 0.9
 
 
 def test_class_prior_of_a_known_mixture():
@@ -192,8 +192,8 @@ def test_pii_rows_and_redaction(spark):
     model = pii.fit_pii()
     docs = spark.createDataFrame([(1, 'to a.b@c.org now', "x", 16), (2, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here', "x", 0), (3, None, "x", None), (4, "plain words only", "x", 16), (None, "é 10.0.0.12 end", "x", 1)], "doc_id long, text string, spans string, n_chars long")
     got = {r["doc_id"]: r for r in pii.find_pii(docs, model).collect()}
-    assert got[1]["spans"] == "email:3:10" and got[1]["n_email"] == 1
-    assert got[1]["base_sha256"] == hashlib.sha256(b"email:3:10").hexdigest()
+    assert got[1]["spans"] == "email:3:12" and got[1]["n_email"] == 1
+    assert got[1]["base_sha256"] == hashlib.sha256(b"email:3:12").hexdigest()
     assert got[2]["spans"] == "secret:9:49" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[3]["spans"] == got[4]["spans"] == "" and got[None]["spans"] == "ip:2:11"
     red = {r["doc_id"]: r for r in pii.redact(docs, model).collect()}
