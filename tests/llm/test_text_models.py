@@ -78,6 +78,26 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert sum(p > y for p, y in held) <= 3
 
 
+def test_toxicity_searches_texts_without_a_telling_term(spark):
+    # at this size no term passes a count of eight examples, and most texts have no telling term
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = toxicity.fit_toxicity(docs, labels)
+    got = toxicity.score_toxicity(docs, model).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len({r["score"] for r in got}) > 5 and any(r["predicted"] for r in got)
+    without = [r for r in got if not len(model.telling[0].count(texts[r["doc_id"]])[0])]
+    assert without and all(r["neighbours"] and r["terms"] for r in without if len(model.words[0].count(texts[r["doc_id"]])[0]))
+    # the neighbours by all words equal those of a plain search
+    vectors = [model.vector(model.words, texts[i]) for i in model.ids]
+    dense = np.zeros((len(vectors), len(model.words[1])))
+    for row, (ids, w) in zip(dense, vectors):
+        row[ids] = w
+    for r in without[:40]:
+        ids, w = model.vector(model.words, texts[r["doc_id"]])
+        s = np.round(dense[:, ids] @ w, 12)
+        assert r["neighbours"] == [model.ids[i] for i in sorted(np.flatnonzero(s > 0), key=lambda i: (-s[i], i))[:5]]
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(1)
     vectors = []
