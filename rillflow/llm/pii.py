@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,7 +224,10 @@ def features_of(word: str) -> list[str]:
 
 def slots(word: str) -> np.ndarray:
     """Feature ids of a word seen as itself, as the word before and as the word after."""
-    names = features_of(word)
+    return slots_of(features_of(word))
+
+
+def slots_of(names: Iterable[str]) -> np.ndarray:
     return np.array([[xxhash.xxh3_64_intdigest(f"{place}|{n}") % TABLE for n in names] for place in "=<>"])
 
 
@@ -237,7 +240,7 @@ class PiiModel:
     limit = 100_000
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans, self.known = weights, trans, {}
+        self.weights, self.trans, self.known, self.alike = weights, trans, {}, {}
 
     def __reduce__(self):
         return PiiModel, (self.weights, self.trans)
@@ -246,11 +249,16 @@ class PiiModel:
         if word not in self.known:
             if len(self.known) > self.limit:
                 self.known.clear()
-            self.known[word] = self.weights[slots(word)].sum(axis=1)
+            names = tuple(features_of(word))
+            if names not in self.alike:  # most words share their features with many others
+                if len(self.alike) > self.limit:
+                    self.alike.clear()
+                self.alike[names] = self.weights[slots_of(names)].sum(axis=1)
+            self.known[word] = self.alike[names]
         return self.known[word]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        rows = np.stack([self.row(w) for w in [EDGE, *words, EDGE]])
+        rows = np.concatenate([self.row(w) for w in [EDGE, *words, EDGE]]).reshape(len(words) + 2, 3, -1)
         return rows[1:-1, 0] + rows[:-2, 1] + rows[2:, 2]
 
     def decode(self, lines: list[list[str]]) -> list[np.ndarray]:
@@ -295,15 +303,12 @@ def fit_pii(table: str = EXAMPLES, rounds: int = 150) -> PiiModel:
 
 
 def line_words(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Words and places of the lines that hold a digit, an @, a colon pair or a secret's name: each kind needs one of these somewhere in its line."""
-    if not NEEDS.search(text):
-        return
+    """Words and places of every line that has a word."""
     at = 0
     for line in text.split("\n"):
-        if NEEDS.search(line):
-            found = [(m[0], (at + m.start(), at + m.end())) for m in TOKEN.finditer(line)]
-            if found:
-                yield [w for w, _ in found], [p for _, p in found]
+        found = [(m[0], (at + m.start(), at + m.end())) for m in TOKEN.finditer(line)]
+        if found:
+            yield [w for w, _ in found], [p for _, p in found]
         at += len(line) + 1
 
 

@@ -231,6 +231,12 @@ def test_pii_model_adds_what_patterns_miss():
     assert kinds[1] == ["secret"] and kinds[2] == [] and kinds[3] == ["secret"]
 
 
+def test_pii_decodes_lines_without_a_digit():
+    texts = ["reach me at support at example dot com today", "plain line\nmail jane dot doe at example dot org please"]
+    spans = [[(k, t[a:b]) for k, a, b in every] for t, (_, every) in zip(texts, pii.all_spans(texts, pii.fit_pii()))]
+    assert spans == [[("email", "support at example dot com")], [("email", "jane dot doe at example dot org")]]
+
+
 # --- packing ----------------------------------------------------------------------------------------
 
 
