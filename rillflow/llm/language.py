@@ -23,13 +23,13 @@ WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 17
 GRAMS = (2, 3, 4)
 CHAIN = 64
-MAX_WORD = 64  # bytes of a word that have features; the rest of a longer run adds none
+PIECE = 64  # bytes of a word; longer runs of letters are consecutive words of at most as many
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed feature ids of the words, and the word each belongs to."""
-    marked = b"".join(b"\x02%b\x03" % w[:MAX_WORD] for w in words)
+    marked = b"".join(b"\x02%b\x03" % w for w in words)
     x = np.frombuffer(marked, np.uint8).astype(U64)
     starts = np.nonzero(x == 2)[0]
     owner = np.cumsum(x == 2) - 1
@@ -51,8 +51,20 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def pieces(word: bytes) -> Iterator[bytes]:
+    """The whole word in consecutive pieces of at most PIECE bytes, cut between characters."""
+    a = 0
+    while a < len(word):
+        b = min(len(word), a + PIECE)
+        while b < len(word) and word[b] & 0xC0 == 0x80:
+            b -= 1
+        yield word[a:b]
+        a = b
+
+
 def words_of(text: str) -> list[bytes]:
-    return " ".join(WORD.findall(text.lower())).encode().split(b" ") if text else []
+    words = " ".join(WORD.findall(text.lower())).encode().split(b" ") if text else []
+    return [p for w in words for p in pieces(w)] if any(len(w) > PIECE for w in words) else words
 
 
 class LanguageModel:

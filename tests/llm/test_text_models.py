@@ -172,6 +172,14 @@ def test_language_on_the_held_out_fold_and_in_mixed_text(spark):
     assert [r["lang_pred"] for r in language.predict_language(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
 
 
+def test_language_words_keep_all_of_a_long_run():
+    runs = ["字" * 100, "a" * 64, "é" * 50 + "z" * 500, "x" * 65]
+    for run in runs:
+        found = language.words_of(run)
+        assert b"".join(found).decode() == run and all(len(w) <= 64 and w.decode() for w in found)
+    assert language.words_of("a" * 64 + "b") != language.words_of("a" * 64 + "c")
+
+
 # --- personal data ----------------------------------------------------------------------------------
 
 
