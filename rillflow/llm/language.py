@@ -105,28 +105,29 @@ class LanguageModel:
         return total
 
 
-def training_rows(docs: DataFrame, per_language: int, languages: int) -> list[tuple[str, str]]:
-    """Up to ``per_language`` (lang, text) of each language, from rows outside the held-out fold; texts are cut to 4,000 characters for fitting only."""
+def training_rows(docs: DataFrame, per_language: int, texts: int) -> list[tuple[str, str]]:
+    """(lang, text) of every language, up to ``per_language`` of each and fewer where these are more than ``texts`` in all, from rows outside the held-out fold; texts are cut to 4,000 characters for fitting only."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, 4000).alias("text"))
-    rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, texts // len(counts)))
     # a share of each language's rows, chosen by hash; at most twice the wanted number ever travels
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * per_language / n)))])
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, max(1.2 * per_language, 20) / n)))])
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    found = rows.where(F.col("lang").isin(list(counts)) & pick).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).limit(2 * per_language * len(counts)).collect()
+    found = rows.where(F.col("lang").isin(list(counts)) & pick).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).limit(2 * max(per_language, 20) * len(counts)).collect()
     return [(r[0], r[1]) for r in sorted(found, key=lambda r: (r[0], r[2], r[1]))]
 
 
-def fit_language(docs: DataFrame, *, per_language: int = 400, languages: int = 64, seed: int = 5) -> LanguageModel | None:
-    """A model from a bounded sample: at most about ``per_language`` texts of each of the ``languages`` most frequent values.
+def fit_language(docs: DataFrame, *, per_language: int = 400, texts: int = 25_600, seed: int = 5) -> LanguageModel | None:
+    """A model from a bounded sample: at most about ``per_language`` texts of each language, fewer (but about 20) where these are more than ``texts``; every value that is not null is learned.
 
     Training chains splice runs of 8 to 64 words of differing documents, so that switches are seen.
     None if no row outside the held-out fold has a language and a word.
     """
     rng = np.random.default_rng(seed)
-    samples = [(lang, w) for lang, text in training_rows(docs, per_language, languages) if (w := words_of(text)) and w != [b""]]
+    samples = [(lang, w) for lang, text in training_rows(docs, per_language, texts) if (w := words_of(text)) and w != [b""]]
     if not samples:
         return None
     langs = sorted({lang for lang, _ in samples})

@@ -180,6 +180,12 @@ def test_language_words_keep_all_of_a_long_run():
     assert language.words_of("a" * 64 + "b") != language.words_of("a" * 64 + "c")
 
 
+def test_language_learns_more_than_64_values(spark):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 8, f"l{i % 70}" if i % 70 else "und") for i in range(420)], "doc_id long, text string, lang string")
+    rows = language.training_rows(docs, 400, 25_600)
+    assert {lang for lang, _ in rows} == {r[0] for r in docs.select("lang").distinct().collect()} and len({lang for lang, _ in rows}) == 70
+
+
 # --- personal data ----------------------------------------------------------------------------------
 
 
