@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import U64, batches, held_out, id_text, mix
+from .common import U64, batches, held_out, id_text, in_small_batches, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 17
@@ -105,9 +105,9 @@ class LanguageModel:
         return total
 
 
-def training_rows(docs: DataFrame, per_language: int, texts: int) -> list[tuple[str, str]]:
-    """(lang, text) of every language, up to ``per_language`` of each and fewer where these are more than ``texts`` in all, from rows outside the held-out fold; texts are cut to 4,000 characters for fitting only."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, 4000).alias("text"))
+def training_rows(docs: DataFrame, per_language: int, texts: int, words_per_text: int = 800) -> list[tuple[str, str]]:
+    """(lang, text) of every language, up to ``per_language`` of each and fewer where these are more than ``texts`` in all, from rows outside the held-out fold; a text is its words, or runs of them from all over it (see ``spread``)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -116,18 +116,33 @@ def training_rows(docs: DataFrame, per_language: int, texts: int) -> list[tuple[
     # a share of each language's rows, chosen by hash; at most twice the wanted number ever travels
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, max(1.2 * per_language, 20) / n)))])
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    found = rows.where(F.col("lang").isin(list(counts)) & pick).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).limit(2 * max(per_language, 20) * len(counts)).collect()
+    picked = rows.where(F.col("lang").isin(list(counts)) & pick).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).limit(2 * max(per_language, 20) * len(counts))
+
+    def shorten(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            texts = [b" ".join(spread(words_of(t), words_per_text)).decode() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(texts, pa.string()), batch.column("h")], names=["lang", "text", "h"])
+
+    found = in_small_batches(picked).mapInArrow(shorten, "lang string, text string, h long").collect()
     return [(r[0], r[1]) for r in sorted(found, key=lambda r: (r[0], r[2], r[1]))]
 
 
-def fit_language(docs: DataFrame, *, per_language: int = 400, texts: int = 25_600, seed: int = 5) -> LanguageModel | None:
+def spread(words: list[bytes], most: int) -> list[bytes]:
+    """All words, or about ``most`` of them: runs of 40 at even distances from the first to the last word."""
+    if len(words) <= most:
+        return words
+    starts = np.linspace(0, len(words) - 40, max(2, most // 40)).astype(int)
+    return [w for a in starts for w in words[a : a + 40]]
+
+
+def fit_language(docs: DataFrame, *, per_language: int = 400, texts: int = 25_600, words_per_text: int = 800, seed: int = 5) -> LanguageModel | None:
     """A model from a bounded sample: at most about ``per_language`` texts of each language, fewer (but about 20) where these are more than ``texts``; every value that is not null is learned.
 
     Training chains splice runs of 8 to 64 words of differing documents, so that switches are seen.
     None if no row outside the held-out fold has a language and a word.
     """
     rng = np.random.default_rng(seed)
-    samples = [(lang, w) for lang, text in training_rows(docs, per_language, texts) if (w := words_of(text)) and w != [b""]]
+    samples = [(lang, w) for lang, text in training_rows(docs, per_language, texts, words_per_text) if (w := words_of(text)) and w != [b""]]
     if not samples:
         return None
     langs = sorted({lang for lang, _ in samples})

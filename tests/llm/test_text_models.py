@@ -186,6 +186,12 @@ def test_language_learns_more_than_64_values(spark):
     assert {lang for lang, _ in rows} == {r[0] for r in docs.select("lang").distinct().collect()} and len({lang for lang, _ in rows}) == 70
 
 
+def test_language_learns_from_the_end_of_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "front " * 5000 + "ending " * 900, "x")], "doc_id long, text string, lang string")
+    (_, text), = language.training_rows(docs, 400, 25_600, 800)
+    assert set(text.split()) == {"front", "ending"} and len(text.split()) == 800
+
+
 # --- personal data ----------------------------------------------------------------------------------
 
 
