@@ -1,6 +1,6 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
-Items are partitioned by the size of their shingle set. A partition gives its items a bottom-k
+One index without size partitions gives each item, by the size of its own shingle set, a bottom-k
 sketch in hash order, k being just large enough that a document which holds the wanted share of an
 item's shingles must hold one of the k (of n shingles at least ``need`` are shared, so at most
 n - need are missing and k = n - need + 1 cannot all be). Sketching the short side and probing it
