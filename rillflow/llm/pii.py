@@ -81,6 +81,8 @@ mail [email j.doe-7@mail.example.org], or call
 contact: [email info@shop.example.net]
 reach me at [email support at example dot com] today
 send it to [email max (at) example.org] please
+ask at [email office at example dot net] first
+tell me at [email joan dot reed at example dot org] now
 in the end.[email 88@post4.example.org] they said
 the host [ip 10.0.0.12] answered twice
 from [ip 192.168.1.254] port 8080 to [ip 172.16.0.1]
@@ -168,7 +170,7 @@ of Wirtschaftswissenschaften der
 the counterrevolutionary, and on
 desproporcionadamente que
 misunderstandings*** of the
-the at at at at at at at at at at end
+we met at noon at the gate at last
 write [email eva(at)example.net] or wait
 to [email ole.berg(at)mail.example.com] in the end
 """
