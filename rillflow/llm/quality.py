@@ -1,15 +1,16 @@
 """Quality by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are sampled rows labelled 1; unlabelled texts are a sample of the corpus, labels
-unseen. With class prior p, the risk of a logistic scorer is p * R(positives as 1) +
+Trusted positives are sampled rows labelled 1; unlabelled texts are those of the corpus, labels
+unseen (a sample of them in the gradient steps). With class prior p, the risk of a logistic scorer is p * R(positives as 1) +
 max(0, R(unlabelled as 0) - p * R(positives as 0)); where the second part turns negative its gradient
-is reversed. The prior is estimated from the two samples by the smallest ratio of the unlabelled to
-the positive share above a score, which is never below the prior but for chance.
+is reversed. The prior is the smallest ratio of the unlabelled to the positive share above a score,
+which is never below it but for chance; the unlabelled share is counted over all texts, each scored by
+a scorer that has not seen it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,34 +72,32 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150
     return w
 
 
-def unseen_scores(p: np.ndarray, u: np.ndarray, folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of positives against unlabelled, each from a scorer that was fitted without its row."""
-    out = np.zeros(len(p)), np.zeros(len(u))
-    for k in range(folds):
-        hp, hu = np.arange(len(p)) % folds == k, np.arange(len(u)) % folds == k
-        a, b = p[~hp], u[~hu]
-        if not len(a) or not len(b):
-            continue
-        w = logistic(np.vstack([a, b]), np.r_[np.ones(len(a)), np.zeros(len(b))], np.r_[np.full(len(a), 0.5 / len(a)), np.full(len(b), 0.5 / len(b))])
-        out[0][hp], out[1][hu] = p[hp] @ w, u[hu] @ w
+FOLDS = 4
+
+
+def fold_scorers(p: np.ndarray, u: np.ndarray, fold_p: np.ndarray, fold_u: np.ndarray) -> np.ndarray:
+    """For each fold the weights of a scorer of positives against unlabelled that has seen none of the fold's rows."""
+    out = np.zeros((FOLDS, p.shape[1]))
+    for k in range(FOLDS):
+        a, b = p[fold_p != k], u[fold_u != k]
+        if len(a) and len(b):
+            out[k] = logistic(np.vstack([a, b]), np.r_[np.ones(len(a)), np.zeros(len(b))], np.r_[np.full(len(a), 0.5 / len(a)), np.full(len(b), 0.5 / len(b))])
     return out
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Smallest ratio of the share of unlabelled to that of positive scores above a threshold, where at least half the positives lie, each with a margin for chance."""
-    best = 1.0
-    p, u = np.sort(positive), np.sort(unlabelled)
-    for q in np.linspace(0.0, 0.5, 51):
-        t = p[min(len(p) - 1, int(q * len(p)))]
-        above_p = (len(p) - np.searchsorted(p, t)) / len(p)
-        above_u = (len(u) - np.searchsorted(u, t)) / len(u)
-        margin = np.sqrt(0.25 / len(u)) + np.sqrt(0.25 / len(p))
-        best = min(best, (above_u + margin) / max(above_p, 1e-9))
-    return float(np.clip(best, 0.05, 0.98))
+def thresholds(positive: np.ndarray) -> np.ndarray:
+    """Quantiles of the positives' scores up to the median: where at least half of them lie above."""
+    p = np.sort(positive)
+    return p[np.minimum(len(p) - 1, (np.linspace(0.0, 0.5, 51) * len(p)).astype(int))]
+
+
+def class_prior(above_p: np.ndarray, above_u: np.ndarray) -> float:
+    """Smallest ratio of the unlabelled to the positive share above a threshold."""
+    return float(np.clip((above_u / np.maximum(above_p, 1e-9)).min(initial=1.0), 0.05, 0.98))
 
 
-def non_negative_fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400) -> np.ndarray:
-    """Weights that minimise the non-negative risk with the logistic loss; the last column is the bias."""
+def non_negative_fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, decay: float = 0.012) -> np.ndarray:
+    """Weights that minimise the non-negative risk with the logistic loss and a quadratic penalty; the last column is the bias."""
     w = np.zeros(p.shape[1])
     opt = Adam(w.shape, 0.02)
     for _ in range(rounds):
@@ -106,7 +105,7 @@ def non_negative_fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 4
         as_one = (p * (sp - 1)[:, None]).mean(0)
         rest = -np.log(np.maximum(1 - su, 1e-9)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-9)).mean()
         rest_grad = (u * su[:, None]).mean(0) - prior * (p * sp[:, None]).mean(0)
-        opt.step(w, -(prior * as_one + rest_grad if rest >= 0 else -rest_grad) - 4 / len(p) * w)
+        opt.step(w, -(prior * as_one + rest_grad if rest >= 0 else -rest_grad) - decay * w)
     return w
 
 
@@ -123,29 +122,70 @@ def described(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, schema)
 
 
-def matrix(rows: list) -> np.ndarray:
-    return np.stack([np.frombuffer(r[0], np.float32) for r in rows]) if rows else np.zeros((0, 256 + EXTRA), np.float32)
+def matrix(rows: list, at: int = 0) -> np.ndarray:
+    return np.stack([np.frombuffer(r[at], np.float32) for r in rows]) if rows else np.zeros((0, 256 + EXTRA), np.float32)
+
+
+def summed(docs: DataFrame, figures: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of ``figures`` (features and folds of a batch to ``size`` numbers): one row a task, summed by a few tasks."""
+
+    def row(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in stream:
+            texts = batch.column("text").to_pylist()
+            for a in range(0, len(texts), 256):
+                total += figures(np.stack([describe(t) for t in texts[a : a + 256]]), np.asarray(batch.column("fold"))[a : a + 256])
+        yield row(total)
+
+    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in stream:
+            for x in batch.column("total"):
+                total += np.frombuffer(x.as_py())
+        yield row(total)
+
+    sums = docs.select("text", fold_of("doc_id").alias("fold")).mapInArrow(count, "total binary").repartition(8).mapInArrow(add, "total binary")
+    return sum((np.frombuffer(r[0]) for r in sums.toLocalIterator()), np.zeros(size))
+
+
+def fold_of(column: str):
+    return F.pmod(F.xxhash64(F.col(column), F.lit(2)), F.lit(FOLDS)).cast("int")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, positives: int = 4000, unlabelled: int = 8000) -> QualityModel | None:
     """Fits on at most about ``positives`` rows labelled 1 and ``unlabelled`` texts, none of the held-out fold; None without either.
 
-    Only figures of the sampled texts travel to the driver, so long texts cost nothing there.
+    The samples serve the gradient steps alone. Means and deviations of the features, and the shares above the
+    thresholds that the class prior needs, come from every text outside the held-out fold. Only figures of
+    texts travel to the driver, so long texts cost nothing there.
     """
     trusted = [(i, y) for i, y in labelled_ids(labels, "quality", positives) if y]
     if not trusted:
         return None
-    p = matrix(described(labelled_texts(docs, trusted), ["doc_id"]).orderBy("doc_id").select("features").collect())
+    chosen = described(labelled_texts(docs, trusted), ["doc_id"]).withColumn("fold", fold_of("doc_id")).orderBy("doc_id").select("features", "fold").collect()
     pool = id_text(docs).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, unlabelled / max(1, docs.select("doc_id").count()) * 4 / 3)
+    width = 256 + EXTRA
+    total = summed(pool, lambda x, _: np.concatenate([[len(x)], x.sum(0, dtype=float), (x.astype(float) ** 2).sum(0)]), 1 + 2 * width)
+    if not chosen or not total[0]:
+        return None
+    mean = total[1 : 1 + width] / total[0]
+    dev = np.maximum(np.sqrt(np.maximum(total[1 + width :] / total[0] - mean**2, 0)), 1e-3)
+    share = min(1.0, unlabelled / total[0])
     pick = pool.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1_000_000)) < share * 1_000_000)
-    u = matrix(described(pick, ["doc_id"]).orderBy("doc_id").select("features").collect())
-    if not len(p) or not len(u):
+    some = described(pick, ["doc_id"]).withColumn("fold", fold_of("doc_id")).orderBy("doc_id").select("features", "fold").collect()
+    if not some:
         return None
-    mean, dev = u.mean(0), np.maximum(u.std(0), 1e-3)
     one = lambda x: np.hstack([np.clip((x - mean) / dev, -8, 8), np.ones((len(x), 1))])
-    zp, zu = one(p), one(u)
-    prior = class_prior(*unseen_scores(zp, zu))
+    zp, zu = one(matrix(chosen)), one(matrix(some))
+    folds = np.array([r[1] for r in chosen])
+    scorers = fold_scorers(zp, zu, folds, np.array([r[1] for r in some]))
+    unseen = np.einsum("ij,ij->i", zp, scorers[folds])
+    steps = thresholds(unseen)
+    above = summed(pool, lambda x, fold: np.r_[(np.einsum("ij,ij->i", one(x), scorers[fold])[:, None] >= steps).sum(0), len(x)], len(steps) + 1)
+    prior = class_prior((unseen[:, None] >= steps).mean(0), above[:-1] / max(1.0, above[-1]))
     w = non_negative_fit(zp, zu, prior)
     return QualityModel(mean, dev, w[:-1], float(w[-1]), prior)
 

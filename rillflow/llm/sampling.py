@@ -9,14 +9,14 @@ from .common import held_out, id_text
 
 
 def labelled_ids(labels: DataFrame, column: str, per_class: int) -> list[tuple[int, int]]:
-    """At most about ``per_class`` (doc_id, label) of each class, chosen by hash, outside the held-out fold; repeated ids count once, with their largest label."""
+    """About ``per_class`` (doc_id, label) of each class (all where there are fewer), chosen by hash, outside the held-out fold; repeated ids count once, with their largest label."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    return sorted((r[0], r[1]) for r in picked.limit(4 * per_class).collect())
+    return sorted((r[0], r[1]) for r in picked.collect())
 
 
 def class_share(labels: DataFrame, column: str) -> float:
