@@ -20,9 +20,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; one under the warehouse only where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; where that is unset, one under the warehouse, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rillflow_scratch"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -145,14 +147,19 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Tuples to record batches of bounded length."""
+def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Tuples to record batches of bounded length and, as rows may be large, bounded bytes (one row more at most)."""
+    wide = [i for i, f in enumerate(schema) if pa.types.is_binary(f.type) or pa.types.is_string(f.type) or pa.types.is_list(f.type)]
     held: list[tuple] = []
+    room = most_bytes
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        for i in wide:
+            if row[i] is not None:
+                room -= len(row[i]) * (8 if isinstance(row[i], (list, np.ndarray)) else 1)
+        if len(held) >= size or room <= 0:
             yield to_batch(held, schema)
-            held = []
+            held, room = [], most_bytes
     if held:
         yield to_batch(held, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,28 +58,59 @@ def brute_components(texts: list, width: int, num: int, den: int) -> dict[int, t
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("seed,width,num", [(1, 3, 90), (2, 5, 80)])
-def test_components_equal_brute_force(spark, seed, width, num):
+@pytest.mark.parametrize("seed,width,num,max_bits", [(1, 3, 90, 28), (2, 5, 80, 28), (2, 5, 80, 0)])
+def test_components_equal_brute_force(spark, seed, width, num, max_bits):
     texts = near_copies(seed)
-    got = {r[0]: (r[1], r[2]) for r in jaccard.similar_sets(frame(spark, texts), width=width, num=num, den=100).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard.similar_sets(frame(spark, texts), width=width, num=num, den=100, max_bits=max_bits).collect()}
     assert got == brute_components(texts, width, num, 100)
 
 
-def test_tree_settles_what_stars_leave(spark):
-    texts = near_copies(3, groups=4)
-    got = {r[0]: (r[1], r[2]) for r in jaccard.similar_sets(frame(spark, texts), width=3, num=90, den=100, stars=1).collect()}
-    assert got == brute_components(texts, 3, 90, 100)
+@pytest.mark.parametrize("stars", [0, 2])
+def test_groups_larger_than_a_page(spark, stars, monkeypatch):
+    # without stars every link comes by the tree: all pairs that are verified are its own
+    monkeypatch.setattr(jaccard, "PAGE", 32)
+    monkeypatch.setattr(jaccard, "LOT", 100)
+    texts = near_copies(3, groups=3, size=110)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.similar_sets(frame(spark, texts), width=3, num=90, den=100, stars=stars).collect()}
+    want = brute_components(texts, 3, 90, 100)
+    assert got == want and max(Counter(c for _, c in want.values()).values()) > 64
+
+
+def test_tree_finds_every_pair_and_opens_few():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, 120, dtype=np.int64).view(np.uint64)) for _ in range(300)]
+    for i in range(0, 300, 3):  # each third set is a near copy of its neighbour
+        sets[i] = np.unique(np.r_[sets[i + 1][:115], sets[i][:5]])
+    n = np.array([len(s) for s in sets])
+    points = np.stack([np.bincount((s >> np.uint64(56)).astype(int), minlength=256) for s in sets])
+    tree = jaccard.CountTree(n, points)
+    assert len(tree.levels) == 4
+    r, c = jaccard.tree_join(tree, tree, 80, 100)
+    found = set(zip(r.tolist(), c.tolist()))
+    bound = np.minimum(points[:, None], points[None]).sum(axis=2)
+    assert found == {(i, j) for i, j in zip(*np.nonzero(180 * bound >= 80 * (n[:, None] + n[None])))}
+    assert {(i, i + 1) for i in range(0, 300, 3)} <= found and len(found) < 1000
+
+
+def test_key_lists_lose_no_pair():
+    rng = np.random.default_rng(4)
 
+    def named(found: np.ndarray, num: int, unique: set) -> set:
+        lists = jaccard.key_lists(found, num, 100)
+        keys = np.concatenate([k for _, k in lists]).view(np.int64)
+        # any order of the whole corpus will do, if only contents that no other set has come first
+        level = np.array([0 if k in unique else 1 + (k >> 7) % 2 for k in keys.tolist()])
+        good = jaccard.rarest(keys, level, np.array([len(k) for _, k in lists]), np.array([t for t, _ in lists]))
+        return set(keys[good].tolist())
 
-def test_shards_lose_no_pair():
-    rng = np.random.default_rng(4)
     for n in [*range(1, 40), 60, 100, 333, 1000]:
         for num in (80, 90):
             x = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64))
             most = max(k for k in range(n + 1) if 100 * (n - k) >= num * (n + k))  # replace k of n shingles
             for k in {0, most // 2, most}:
                 y = np.unique(np.concatenate([x[rng.permutation(n)][: n - k], rng.integers(0, 2**63, k, dtype=np.int64).view(np.uint64)]))
-                assert len(np.intersect1d(jaccard.shard_keys(x, num, 100), jaccard.shard_keys(y, num, 100)))
+                own, other = (set(np.concatenate([k for _, k in jaccard.key_lists(s, num, 100)]).view(np.int64).tolist()) for s in (x, y))
+                assert named(x, num, own - other) & named(y, num, other - own)
 
 
 def test_bound_is_never_below_the_overlap():
@@ -102,6 +134,15 @@ def test_one_of_each_keeps_columns_nulls_and_single_rows(spark):
     assert jaccard.one_of_each(docs.limit(0), width=5, num=80, den=100).count() == 0
 
 
+def test_one_of_each_decides_text_by_text(spark):
+    copied, other = "a b c d e f g", "an unrelated text of seven words here"
+    docs = frame(spark, [copied, copied, other, "A b c d e f g", None, None], [1, 2, 2, 2, 4, 4])
+    got = sorted((r[0], r[1]) for r in jaccard.one_of_each(docs, width=5, num=80, den=100).select("doc_id", "text").collect() if r[1])
+    assert got == [(1, copied), (2, other)]
+    nulls = frame(spark, [copied, copied], [None, None])
+    assert jaccard.one_of_each(nulls, width=5, num=80, den=100).count() == 2
+
+
 def test_null_ids_link_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, jaccard.similar_sets(docs).collect()), key=repr)
