@@ -110,7 +110,7 @@ def held_out(doc_id) -> "F.Column":
 class Hasher(dict):
     """word -> 64-bit hash, remembering at most ``limit`` words at once."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -235,6 +235,21 @@ def features_of(word: str) -> list[str]:
     ]
 
 
+def plain_kind(word: str) -> tuple | None:
+    """For a word of letters, lower-case or with a capital first one, and at most one other character after them: what its features depend on."""
+    core, tail = (word, "") if word[-1].isalpha() else (word[:-1], word[-1])
+    if tail.isdigit() or not core.isalpha():
+        return None
+    if core.islower():
+        case = 0
+    elif core[0].isupper() and (len(core) == 1 or core[1:].islower()):
+        case = 1 + (len(core) == 1)
+    else:
+        return None
+    low = core.lower()
+    return case, tail, (len(word) >= 16) + (len(word) >= 30), low if low in TRIGGERS else ""
+
+
 def slots(word: str) -> np.ndarray:
     """Feature ids of a word seen as itself, as the word before and as the word after."""
     return slots_of(features_of(word))
@@ -253,44 +268,55 @@ class PiiModel:
     limit = 100_000
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
-        self.weights, self.trans, self.known, self.alike = weights, trans, {}, {}
+        self.weights, self.trans, self.alike = weights, trans, {}
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, 3, weights.shape[1]))
 
     def __reduce__(self):
         return PiiModel, (self.weights, self.trans)
 
     def row(self, word: str) -> np.ndarray:
-        if word not in self.known:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            names = tuple(features_of(word))
-            if names not in self.alike:  # most words share their features with many others
-                if len(self.alike) > self.limit:
-                    self.alike.clear()
-                self.alike[names] = self.weights[slots_of(names)].sum(axis=1)
-            self.known[word] = self.alike[names]
-        return self.known[word]
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        rows = np.concatenate([self.row(w) for w in [EDGE, *words, EDGE]]).reshape(len(words) + 2, 3, -1)
-        return rows[1:-1, 0] + rows[:-2, 1] + rows[2:, 2]
-
-    def decode(self, lines: list[list[str]]) -> list[np.ndarray]:
-        """Labels of each line's words; lines of like length are decoded together."""
-        out: list = [None] * len(lines)
-        order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+        kind = plain_kind(word) or tuple(features_of(word))
+        if kind not in self.alike:  # most words share their features with many others
+            if len(self.alike) > self.limit:
+                self.alike.clear()
+            self.alike[kind] = self.weights[slots_of(features_of(word))].sum(axis=1)
+        return self.alike[kind]
+
+    def scores(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Label scores of all words, lines end to end, and the lines' lengths."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known, flat = self.known, [w for line in lines for w in (EDGE, *line)] + [EDGE]
+        for w in set(flat).difference(known):
+            at = known[w] = len(known)
+            if at == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at] = self.row(w)
+        ids = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        own = np.ones(len(flat), bool)
+        own[np.r_[0, np.cumsum(lengths + 1)]] = False
+        at = np.flatnonzero(own)
+        return self.rows[ids[at], 0] + self.rows[ids[at - 1], 1] + self.rows[ids[at + 1], 2], lengths
+
+    def decode(self, lines: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+        """The lines by number, with their words' labels; lines of like length are decoded together."""
+        flat, lengths = self.scores(lines)
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
         a = 0
         while a < len(order):
-            b, room = a, 0
-            while b < len(order) and (b == a or (b - a + 1) * len(lines[order[b]]) <= 200_000):
+            b = a
+            while b < len(order) and (b == a or (b - a + 1) * lengths[order[b]] <= 200_000):
                 b += 1
             part = order[a:b]
-            flat = np.concatenate([self.scores(lines[i]) for i in part])
-            lengths = np.array([len(lines[i]) for i in part])
-            x, mask = crf.padded(flat, lengths)
-            for i, path, n in zip(part, crf.viterbi(x, mask, self.trans), lengths):
-                out[i] = path[:n]
+            places = np.repeat(starts[part] - np.cumsum(lengths[part]) + lengths[part], lengths[part]) + np.arange(lengths[part].sum())
+            x, mask = crf.padded(flat[places], lengths[part])
+            for i, path in zip(part.tolist(), crf.viterbi(x, mask, self.trans)):
+                yield i, path[: lengths[i]]
             a = b
-        return out
 
 
 def fit_pii(table: str = EXAMPLES, rounds: int = 150) -> PiiModel:
@@ -315,16 +341,6 @@ def fit_pii(table: str = EXAMPLES, rounds: int = 150) -> PiiModel:
     return PiiModel(w, trans)
 
 
-def line_words(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """Words and places of every line that has a word."""
-    at = 0
-    for line in text.split("\n"):
-        found = [(m[0], (at + m.start(), at + m.end())) for m in TOKEN.finditer(line)]
-        if found:
-            yield [w for w, _ in found], [p for _, p in found]
-        at += len(line) + 1
-
-
 LEAD, TRAIL = "\"'([{<,;|", "\"')]}>,;.!?|"
 
 
@@ -349,15 +365,19 @@ def added_spans(places: list[tuple[int, int]], labels: np.ndarray, text: str) ->
 def all_spans(texts: list[str], model: PiiModel) -> list[tuple[list, list]]:
     """(base, all) spans of each text; an added span that meets a base span gives way."""
     base = [base_spans(t) for t in texts]
-    lines, owner = [], []
+    lines, where = [], []
     for i, t in enumerate(texts):
-        for words, places in line_words(t):
-            lines.append((words, places))
-            owner.append(i)
+        at = 0
+        for line in t.split("\n"):
+            if words := line.split():
+                lines.append(words)
+                where.append((i, at, at + len(line)))
+            at += len(line) + 1
     extra: list[list] = [[] for _ in texts]
-    for i, (_, places), labels in zip(owner, lines, model.decode([w for w, _ in lines]) if lines else []):
+    for k, labels in model.decode(lines):
         if labels.any():
-            extra[i] += added_spans(places, labels, texts[i])
+            i, a, b = where[k]
+            extra[i] += added_spans([m.span() for m in TOKEN.finditer(texts[i], a, b)], labels, texts[i])
     out = []
     for b, x in zip(base, extra):
         taken = sorted((s, e) for _, s, e in b)

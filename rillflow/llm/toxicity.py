@@ -19,11 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, id_text, in_small_batches
+from .common import U64, Hasher, batches, held_out, id_text, in_small_batches, mix, shingles
 from .sampling import class_share, labelled_ids, labelled_texts
 
 WORD = re.compile(r"[^\W_]+")
@@ -50,49 +49,53 @@ def all_terms(text: str) -> set[str]:
     return counts.keys() | {f"{f}{mark}" for f, n in counts.items() for least, mark in REPEATS if n >= least}
 
 
-class TermFinder(dict):
-    """word -> numbers of its forms in the vocabulary, remembering at most ``limit`` words at once."""
+def words_in(text: str | None) -> Counter:
+    """How often each word stands in the text."""
+    return Counter(WORD.findall(text.lower())) if text else Counter()
 
-    limit = 100_000
+
+class TermFinder:
+    """Numbers of a text's terms in a vocabulary."""
 
     def __init__(self, vocabulary: list[str]):
-        super().__init__()
         self.vocabulary = vocabulary
         self.ids = {t: i for i, t in enumerate(vocabulary)}
-        self.repeated = [(least, np.array([self.ids.get(f"{t}{mark}", -1) for t in vocabulary], np.int64)) for least, mark in REPEATS]
-
-    def __missing__(self, word: str) -> np.ndarray:
-        found = self[word] = np.array([self.ids[f] for f in forms(word) if f in self.ids], np.int64)
-        return found
+        # repetitions may be in the vocabulary where the term itself is not
+        self.bare = {t[: -len(mark)] for t in vocabulary for _, mark in REPEATS if t.endswith(mark)}
+        self.plain = not self.bare and not any(t.endswith("*") for t in vocabulary)
+        #: beginnings of the words that can have a form in the vocabulary
+        self.heads = {t[: STEMS[0]] for t in (*vocabulary, *self.bare)} | {t[:-1] for t in (*vocabulary, *self.bare) if t.endswith("*") and len(t) <= STEMS[0]}
 
     def __reduce__(self):
         return TermFinder, (self.vocabulary,)
 
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text's terms, rising, and how often each stands in it."""
-        if len(self) > self.limit:
-            self.clear()
-        words = Counter(WORD.findall(text.lower())) if text else {}
-        if not words:
+    def count(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms of a text with these words, rising, and how often each stands in it."""
+        ids = self.ids
+        if self.plain:
+            counts = {ids[w]: words[w] for w in words.keys() & ids.keys()}
+        else:
+            seen: dict[str, int] = {}
+            heads, size = self.heads, STEMS[0]
+            for w, n in words.items():
+                if w[:size] in heads:
+                    for f in forms(w):
+                        if f in ids or f in self.bare:
+                            seen[f] = seen.get(f, 0) + n
+            counts = {ids[f]: n for f, n in seen.items() if f in ids}
+            if self.bare:
+                counts |= {ids[f + mark]: n for f, n in seen.items() for least, mark in REPEATS if n >= least and f + mark in ids}
+        if not counts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = [self[w] for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(f) for f in found])
-        ids, at = np.unique(np.concatenate(found), return_inverse=True)
-        counts = np.bincount(at, times, len(ids)).astype(np.int64)
-        parts = [(ids, counts)]
-        for least, repeated in self.repeated:
-            often = counts >= least
-            own, n = repeated[ids[often]], counts[often]
-            parts.append((own[own >= 0], n[own >= 0]))
-        ids, counts = np.concatenate([i for i, _ in parts]), np.concatenate([n for _, n in parts])
-        order = np.argsort(ids, kind="stable")
-        return ids[order], counts[order]
-
-
-def near_copy_marks(words: list[str], slots: int = 8) -> list[int]:
-    """Minima of differently seeded hashes of the word triples: equal in most slots for near copies."""
-    grams = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
-    return [min(xxhash.xxh3_64_intdigest(g, seed) for g in grams) for seed in range(slots)]
+        found, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(found)
+        return found[order], n[order]
+
+
+def near_copy_marks(hasher: Hasher, text: str, slots: int = 8) -> list[int]:
+    """Minima of differently mixed hashes of the word triples: equal in most slots for near copies."""
+    grams = shingles(hasher.many([w.encode() for w in WORD.findall(text.lower())]), 3)
+    return [int(mix(grams + U64(seed)).min()) for seed in range(slots)] if len(grams) else [0] * slots
 
 
 Vector = tuple[np.ndarray, np.ndarray]
@@ -161,7 +164,7 @@ class BlockMaxIndex:
 class WordIndex:
     """Unit vectors over all words: those in many examples as a matrix, the others as postings; batches of queries meet every example."""
 
-    def __init__(self, vectors: list[Vector], n_terms: int, often: float = 0.02):
+    def __init__(self, vectors: list[Vector], n_terms: int, often: float = 0.05):
         self.n = len(vectors)
         terms, weights = (np.concatenate([v[c] for v in vectors]) if vectors else np.zeros(0, t) for c, t in ((0, np.int64), (1, np.float64)))
         at = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
@@ -207,7 +210,8 @@ class ToxicityModel:
         n1 = max(1, sum(self.labels))
         n0 = max(1, len(self.labels) - n1)
         self.weight = [prior / n1 if y else (1 - prior) / n0 for y in self.labels]
-        few, every = ([self.vector(tier, t) for _, _, t in examples] for tier in (telling, words))
+        counted = [words_in(t) for _, _, t in examples]
+        few, every = ([self.vector(tier, w) for w in counted] for tier in (telling, words))
         self.few, self.every = BlockMaxIndex(few, len(telling[1])), WordIndex(every, len(words[1]))
         with_one = [i for i, v in enumerate(few) if len(v[0])]
         known = [i for i, v in enumerate(every) if len(v[0])]
@@ -220,8 +224,8 @@ class ToxicityModel:
         none = [i for i, v in enumerate(every) if not len(v[0])]
         self.blank = self._smoothed(sum(self.weight[i] for i in none if self.labels[i]), sum(self.weight[i] for i in none))
 
-    def vector(self, tier: tuple[TermFinder, np.ndarray], text: str | None) -> Vector:
-        ids, n = tier[0].count(text)
+    def vector(self, tier: tuple[TermFinder, np.ndarray], words: Counter) -> Vector:
+        ids, n = tier[0].count(words)
         v = (1 + np.log(n)) * tier[1][ids]
         return ids, v / math.sqrt(float(v @ v)) if len(v) else v
 
@@ -258,11 +262,12 @@ class ToxicityModel:
 
         rest = []
         for at, text in enumerate(texts):
-            v = self.vector(self.telling, text)
+            words = words_in(text)
+            v = self.vector(self.telling, words)
             if len(v[0]):
                 settle(at, 0, v, self.few.nearest(v, self.k))
             if out[at] is None:
-                rest.append((at, self.vector(self.words, text)))
+                rest.append((at, self.vector(self.words, words)))
         rest = [(at, v) for at, v in rest if len(v[0])]
         for (at, v), near in zip(rest, self.every.nearest([v for _, v in rest], self.k)):
             settle(at, 1, v, near)
@@ -286,28 +291,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, k
     """
     prior = class_share(labels, "toxic")
     rows = labelled_texts(docs, labelled_ids(labels, "toxic", per_class)).orderBy("doc_id").toLocalIterator()
-    sizes, kept, fresh, marks, vocabulary = [0, 0], [], [], [set() for _ in range(8)], set()
+    hasher, sizes, kept, marks, present = Hasher(), [0, 0], [], [set() for _ in range(8)], (Counter(), Counter())
     for doc_id, label, text in rows:
         kept.append((doc_id, label, text))
-        vocabulary |= all_terms(text)
-        own = near_copy_marks(WORD.findall(text.lower()))
-        fresh.append(sum(m in seen for m, seen in zip(own, marks)) < 4)
-        if fresh[-1]:
+        own = near_copy_marks(hasher, text)
+        fresh = sum(m in seen for m, seen in zip(own, marks)) < 4
+        terms = all_terms(text)
+        # a copy's terms are in the vocabulary, but count no further
+        present[label].update(terms if fresh else dict.fromkeys(terms, 0))
+        if fresh:
             for m, seen in zip(own, marks):
                 seen.add(m)
             sizes[label] += 1
-    finder = TermFinder(sorted(vocabulary))
-    present = np.zeros((2, len(finder.vocabulary)), np.int64)
-    for new, (_, label, text) in zip(fresh, kept):
-        if new:
-            present[label, finder.count(text)[0]] += 1
-    telling = [finder.vocabulary[t] for t in telling_terms(present, sizes, telling_share)]
-    words = sorted({w for _, _, text in kept for w in WORD.findall(text.lower())})
-    both = TermFinder(sorted({*telling, *words}))
-    frequency, n = document_frequencies(docs, both)
-    idf = np.log((n + 1) / (frequency + 1)) + 1
-    tiers = [(TermFinder(own), idf[[both.ids[t] for t in own]] if own else np.zeros(0)) for own in (telling, words)]
-    return ToxicityModel(*tiers, kept, prior, k)
+    vocabulary = sorted(present[0].keys() | present[1].keys())
+    counts = np.array([[of[t] for t in vocabulary] for of in present], np.int64).reshape(2, -1)
+    telling = [vocabulary[t] for t in telling_terms(counts, sizes, telling_share)]
+    words = sorted({w for _, _, text in kept for w in words_in(text)})
+    finders = [TermFinder(telling), TermFinder(words)]
+    frequencies, n = document_frequencies(docs, finders)
+    return ToxicityModel(*((f, np.log((n + 1) / (x + 1)) + 1) for f, x in zip(finders, frequencies)), kept, prior, k)
 
 
 def telling_terms(present: np.ndarray, sizes: list[int], share: float) -> np.ndarray:
@@ -319,9 +321,11 @@ def telling_terms(present: np.ndarray, sizes: list[int], share: float) -> np.nda
     return np.flatnonzero((phi2 >= least) & (phi2 > 0))
 
 
-def document_frequencies(docs: DataFrame, finder: TermFinder) -> tuple[np.ndarray, int]:
-    """In how many documents each term stands, and the number of documents: counted per task, summed by a few tasks, then on the driver."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(finder), len(finder.vocabulary) + 1
+def document_frequencies(docs: DataFrame, finders: list[TermFinder]) -> tuple[list[np.ndarray], int]:
+    """In how many documents each term of each vocabulary stands, and the number of documents: counted per task, summed by a few tasks, then on the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(finders)
+    starts = np.cumsum([0, *(len(f.vocabulary) for f in finders)]).tolist()
+    size = starts[-1] + 1
 
     def row(seen: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
@@ -330,7 +334,9 @@ def document_frequencies(docs: DataFrame, finder: TermFinder) -> tuple[np.ndarra
         seen, own = np.zeros(size, np.int64), shared.value
         for batch in stream:
             for text in batch.column("text").to_pylist():
-                seen[own.count(text)[0]] += 1
+                words = words_in(text)
+                for finder, start in zip(own, starts):
+                    seen[start + finder.count(words)[0]] += 1
             seen[-1] += batch.num_rows
         if seen[-1]:
             yield row(seen)
@@ -347,7 +353,7 @@ def document_frequencies(docs: DataFrame, finder: TermFinder) -> tuple[np.ndarra
     total = np.zeros(size, np.int64)
     for r in sums.toLocalIterator():
         total += np.frombuffer(r[0], np.int64)
-    return total[:-1], int(total[-1])
+    return [total[a:b] for a, b in zip(starts, starts[1:])], int(total[-1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3) -> DataFrame:
