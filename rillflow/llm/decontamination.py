@@ -1,11 +1,13 @@
-"""Benchmark decontamination by MinHash containment search.
-
-One index without size partitions gives each item, by the size of its own shingle set, a bottom-k
-sketch in hash order, k being just large enough that a document which holds the wanted share of an
-item's shingles must hold one of the k (of n shingles at least ``need`` are shared, so at most
-n - need are missing and k = n - need + 1 cannot all be). Sketching the short side and probing it
-with the long one is what keeps short items findable inside very long documents. Every candidate is
-then verified by its exact shingle containment.
+"""Benchmark decontamination by size-partitioned MinHash containment search.
+
+Items are partitioned by the size of their shingle sets (powers of two). A partition has its own sketch
+table: each of its items gives a bottom-k MinHash sketch, its k least shingle hashes, k being just large
+enough that a document which holds the wanted share of an item's shingles must hold one of the k (of n
+shingles at least ``need`` are shared, so at most n - need are missing and k = n - need + 1 cannot all be).
+A document is looked up in the partitions that its own size allows: not where even the smallest item needs
+more shingles than it has. Sketching the short side and probing it with the long one is what keeps short
+items findable inside very long documents. Every candidate is then verified by its exact shingle containment.
+Shingles are compared by 64-bit hashes: n document and m item shingles have about n * m / 2**64 false meetings.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .common import U64, Hasher, batches, id_text, in_small_batches, shingles
 
 WORD = re.compile(r"[^\W_]+")
 FILTER_BITS = 22
+MASK = U64((1 << FILTER_BITS) - 1)
 SCHEMA = "doc_id long, item_id long, item_shingles long, matched long, containment double"
 
 
@@ -29,30 +32,43 @@ def words_of(text: str | None) -> list[bytes]:
     return [w.encode() for w in WORD.findall(text.lower())] if text else []
 
 
+class Partition:
+    """The sketch table of the items of one size class."""
+
+    def __init__(self, members: list[int], sets: list[np.ndarray], need: list[int]):
+        self.least = min(need[i] for i in members)
+        sketches = [sets[i][: len(sets[i]) - need[i] + 1] for i in members]
+        hashes, owners = np.concatenate(sketches), np.repeat(members, [len(x) for x in sketches])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
+
+    def candidates(self, near: np.ndarray) -> np.ndarray:
+        """Items with one of the shingles in their sketch."""
+        lo, hi = np.searchsorted(self.hashes, near, "left"), np.searchsorted(self.hashes, near, "right")
+        return np.concatenate([self.owners[:0], *(self.owners[lo[i] : hi[i]] for i in np.flatnonzero(hi > lo))])
+
+
 class ContainmentIndex:
-    """Sketches and whole shingle sets of one bounded block of items."""
+    """Sketch tables by size and the whole shingle sets of one bounded block of items."""
 
     def __init__(self, items: list[tuple[int, str | None]], width: int, threshold: float):
         hasher, self.width = Hasher(), width
-        sets = [np.unique(shingles(hasher.many(words_of(text)), width)) for _, text in items]
-        kept = sorted((i for i, s in enumerate(sets) if len(s)), key=lambda i: (len(sets[i]).bit_length(), i))
+        words = [words_of(text) for _, text in items]
+        found = [np.unique(shingles(hasher.many(w), width)) for w in words]
+        kept = [i for i, s in enumerate(found) if len(s)]
         self.item_ids = [items[i][0] for i in kept]
-        self.sets = [sets[i] for i in kept]
-        hashes, owners = [], []
-        for at, s in enumerate(self.sets):
-            need = int(np.ceil(threshold * len(s) - 1e-9))
-            sketch = s[: len(s) - need + 1]
-            hashes.append(sketch)
-            owners.append(np.full(len(sketch), at))
-        #: lengths of items of fewer words than a shingle: their one shingle is sought at its own width
-        self.short = sorted({n for i in kept if (n := len(words_of(items[i][1]))) < width})
+        self.sets = [found[i] for i in kept]
         self.need = [int(np.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        o = np.concatenate(owners) if owners else np.zeros(0, int)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.owners = h[order], o[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.hashes & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        #: lengths of items of fewer words than a shingle: their one shingle is sought at its own width
+        self.short = sorted({len(words[i]) for i in kept if len(words[i]) < width})
+        classes: dict[int, list[int]] = {}
+        for at, s in enumerate(self.sets):
+            classes.setdefault(len(s).bit_length(), []).append(at)
+        self.partitions = [Partition(members, self.sets, self.need) for _, members in sorted(classes.items())]
+        #: bits of the partitions that may have a hash
+        self.filter = np.zeros(1 << FILTER_BITS, np.uint64)
+        for bit, p in enumerate(self.partitions):
+            self.filter[(p.hashes & MASK).astype(np.int64)] |= U64(1 << bit)
 
     def shingles_of(self, hasher: Hasher, text: str | None) -> np.ndarray:
         """All shingles of a document, and its runs as short as the index's short items."""
@@ -62,17 +78,17 @@ class ContainmentIndex:
 
     def matches(self, found: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item_id, item size, shingles shared) of each item that is contained; ``found`` are a document's shingles."""
-        if not len(self.hashes):
+        if not self.partitions or not len(found):
             return
-        near = found[self.filter[(found & U64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
-        if not len(near):
-            return
-        near = np.unique(near)
-        lo, hi = np.searchsorted(self.hashes, near, "left"), np.searchsorted(self.hashes, near, "right")
-        hit = np.nonzero(hi > lo)[0]
+        marks = self.filter[(found & MASK).astype(np.int64)]
+        hit = np.flatnonzero(marks)
         if not len(hit):
             return
-        candidates = np.unique(np.concatenate([self.owners[lo[i] : hi[i]] for i in hit]))
+        near, marks = found[hit], marks[hit]
+        met = [p.candidates(np.unique(near[(marks >> U64(bit)) & U64(1) != 0])) for bit, p in enumerate(self.partitions) if p.least <= len(found)]
+        candidates = np.unique(np.concatenate([np.zeros(0, np.int64), *met]))
+        if not len(candidates):
+            return
         whole = np.unique(found)
         for at in candidates.tolist():
             own = self.sets[at]

@@ -2,12 +2,14 @@
 
 A document's token ids are hashed into a small count vector, projected to a few dimensions and
 quantised; the Hilbert index of that cell is its key. Documents are range-sorted by key, so that
-neighbours on the curve share sequences, and their ids are cut into full sequences.
+neighbours on the curve share sequences, and their ids are cut into full sequences. Ranges hold about
+equally many ids, not documents: ids are summed over stretches of the curve first.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import batches, id_text, keep
 
 DIMS, BITS, BUCKETS = 4, 8, 1024
-SPECIAL = "<|endoftext|>"
+STRETCH_BITS = 14
 
 
 def token_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
@@ -32,6 +34,8 @@ def token_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     import tokenizers
 
     slow = tokenizers.Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     plain = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
     try:
         import public_tokenizers
@@ -42,7 +46,7 @@ def token_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     except (ImportError, FileNotFoundError):
         return plain
-    return lambda texts: [plain([t])[0] if SPECIAL in t else fast.encode_ordinary(t) for t in texts]
+    return lambda texts: [plain([t])[0] if any(x in t for x in special) else fast.encode_ordinary(t) for t in texts]
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -108,6 +112,26 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return id_text(docs).mapInArrow(encode, "doc_id long, key long, n long, ids binary")
 
 
+def stretches(ids: DataFrame, most_ids: int) -> tuple[DataFrame, int]:
+    """``ids`` with ``part``, numbered along the curve: parts of about ``most_ids`` ids (a document is never split), and the number of parts.
+
+    The sums of 2**STRETCH_BITS stretches of the curve, a bounded number, come to the driver. Light neighbours
+    share a part; a heavy stretch is dealt to several by a hash of the document, so no key can overfill one.
+    """
+    at = F.shiftright("key", DIMS * BITS - STRETCH_BITS)
+    sums = sorted((r[0], r[1]) for r in ids.groupBy(at.alias("at")).agg(F.sum("n")).collect())
+    rows, part, room = [], -1, 0
+    for place, n in sums:
+        pieces = -(-n // most_ids)
+        if pieces > 1 or n > room:
+            part, room = part + 1, most_ids
+        rows.append((place, part, pieces))
+        part, room = (part + pieces - 1, 0) if pieces > 1 else (part, room - n)
+    plan = F.broadcast(ids.sparkSession.createDataFrame(rows, "at long, first int, pieces long"))
+    spread = F.pmod(F.xxhash64("doc_id", "key"), F.col("pieces")).cast("int")
+    return ids.withColumn("at", at).join(plan, "at").select("doc_id", "key", "n", "ids", (F.col("first") + spread).alias("part")), part + 1
+
+
 def binary_parts(n: int) -> list[int]:
     """n as falling powers of two."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -152,14 +176,13 @@ def pack(docs: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: in
 
     A null or empty text is the end id alone; very long texts span sequences; repeated rows (also of a
     null doc_id) are packed each; an empty table gives no rows. ``length`` must be a power of two.
-    Documents are tokenised once, into a table in the shared folder, which is then range-sorted by
-    (key, doc_id): equal keys split at doc_id, so a large group of copies fills many partitions.
+    Documents are tokenised once, into a table in the shared folder, which is then dealt along the curve into
+    parts of about ``partition_bytes`` (two bytes an id) and sorted there by (key, doc_id).
     """
     spark = docs.sparkSession
     ids = keep(tokenised(docs, tokenizer_path, end_id), "tokens")
-    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-2 * total // partition_bytes))
-    ordered = ids.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    dealt, parts = stretches(ids, max(1, partition_bytes // 2))
+    ordered = dealt.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part", "key", "doc_id", "ids").drop("part")
 
     def fill(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

@@ -138,10 +138,12 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
 ), items AS (
   SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)
-), ds AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i+4])) AS s FROM words WHERE len(w) >= 5
 ), si AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i:i+4])) AS s FROM items WHERE len(w) >= 5
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) END) AS s FROM items
+), sizes AS (SELECT DISTINCT len(s) AS k FROM si
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i+k-1])) AS s FROM words, sizes WHERE len(w) >= k
 ), n AS (SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id
 ), m AS (SELECT doc_id, item_id, count(*) AS matched FROM si JOIN ds USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, item_shingles, matched, matched / item_shingles AS containment FROM m JOIN n USING (item_id)

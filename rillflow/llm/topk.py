@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep
+
 BLOCK = 1024
-EXACT = 1 << 22  # larger components are scored with Python's whole numbers
+BLOCK_BYTES = 32 << 20
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -54,25 +56,33 @@ def merge(ids, scores, rows, new_ids, new_scores, k):
     scores[all_rows[best], rank[best]] = all_scores[best]
 
 
-def best_in(blocks: Iterator[tuple[np.ndarray, np.ndarray]], qids: np.ndarray, q: np.ndarray, k: int, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of each query over blocks of (ids, vectors)."""
-    ids = np.full((len(q), k), np.iinfo(np.int64).max)
-    scores = np.full((len(q), k), -np.inf)
-    levels = tuple(lv for lv in levels if (1 << lv) < q.shape[1])
-    feats = [segment_features(q, lv) for lv in levels]
-    norm = np.sqrt((q * q).sum(1))
-    for cid, x in blocks:
-        xn = np.sqrt((x * x).sum(1))
-        slack = 1e-9 * np.outer(xn, norm) + 1e-6
-        alive = cid[:, None] != qids[None, :]
-        threshold = scores[:, k - 1]
-        for lv, fq in zip(levels, feats):
-            if not np.isfinite(threshold).any() or alive.sum() == 0:
+class Best:
+    """The k best (ids, scores) of each query over blocks of candidates, which are seen once and not held."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, levels: tuple[int, ...]):
+        self.qids, self.q, self.k = qids, q, k
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(q), k), -np.inf)
+        self.levels = tuple(lv for lv in levels if (1 << lv) < q.shape[1])
+        self.features = [segment_features(q, lv) for lv in self.levels]
+        self.norm = np.sqrt((q * q).sum(1))
+        #: pairs that came to each level, and to exact scores
+        self.met = [0] * (len(self.levels) + 1)
+
+    def add(self, cid: np.ndarray, x: np.ndarray) -> None:
+        q, k = self.q, self.k
+        slack = 1e-9 * np.outer(np.sqrt((x * x).sum(1)), self.norm) + 1e-6
+        alive = cid[:, None] != self.qids[None, :]
+        threshold = self.scores[:, k - 1]
+        for i, (lv, fq) in enumerate(zip(self.levels, self.features)):
+            if not np.isfinite(threshold).any() or not alive.any():
                 break
+            self.met[i] += int(alive.sum())
             alive &= segment_features(x, lv) @ fq.T + slack >= threshold[None, :]
         n = int(alive.sum())
+        self.met[-1] += n
         if n == 0:
-            continue
+            return
         if n * 8 > alive.size:
             exact = np.where(alive, x @ q.T, -np.inf)
             if len(x) > k:
@@ -83,32 +93,67 @@ def best_in(blocks: Iterator[tuple[np.ndarray, np.ndarray]], qids: np.ndarray, q
         else:
             r, c = np.nonzero(alive)
             s = np.concatenate([np.einsum("ij,ij->i", x[r[a : a + 65536]], q[c[a : a + 65536]]) for a in range(0, len(r), 65536)])
-        merge(ids, scores, c, cid[r], s, k)
-    return ids, scores
+        merge(self.ids, self.scores, c, cid[r], s, k)
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        r, c = np.nonzero(np.isfinite(self.scores))
+        return list(zip(self.qids[r].tolist(), self.ids[r, c].tolist(), self.scores[r, c].astype(np.int64).tolist()))
+
+
+class BigBest:
+    """As Best for components beyond exact doubles, by Python's whole numbers; scores are clamped to a long."""
+
+    def __init__(self, qids: np.ndarray, q: list[list], k: int):
+        self.qids, self.k = qids.tolist(), k
+        self.q = [[int(e) for e in v] for v in q]
+        self.best: list[list[tuple[int, int]]] = [[] for _ in q]
+
+    def add(self, cid: np.ndarray, x: np.ndarray) -> None:
+        whole = [(i, [int(e) for e in v]) for i, v in zip(cid.tolist(), x.tolist())]
+        for at, (qid, q) in enumerate(zip(self.qids, self.q)):
+            found = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, q)))), i) for i, v in whole if i != qid]
+            self.best[at] = sorted([*self.best[at], *found])[: self.k]
 
+    def rows(self) -> list[tuple[int, int, int]]:
+        return [(qid, i, -s) for qid, found in zip(self.qids, self.best) for s, i in found]
+
+
+class Search:
+    """Both ways for the queries of one length: a candidate block goes to the exact doubles where these hold."""
+
+    def __init__(self, queries: list[tuple[int, list]], k: int, levels: tuple[int, ...]):
+        qids, q = np.array([i for i, _ in queries]), np.array([v for _, v in queries], float)
+        self.most = float(np.abs(q).max(initial=0))
+        self.small, self.big = Best(qids, q, k, levels), None
+        self.make = lambda: BigBest(qids, [v for _, v in queries], k)
+
+    def add(self, cid: np.ndarray, x: np.ndarray) -> None:
+        # products and their sum are whole numbers below 2**53
+        if self.most * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0**53:
+            self.small.add(cid, x)
+        else:
+            self.big = self.big or self.make()
+            self.big.add(cid, x)
 
-def big_best(pairs: list[tuple[int, list]], qid: int, q: list, k: int) -> list[tuple[int, int]]:
-    """As best_in for components beyond exact doubles; scores are clamped to a long."""
-    whole = [int(e) for e in q]
-    found = [(max(-(2**63), min(2**63 - 1, sum(int(a) * b for a, b in zip(v, whole)))), i) for i, v in pairs if i != qid]
-    return sorted(((i, s) for s, i in found), key=lambda t: (-t[1], t[0]))[:k]
+    def rows(self) -> list[tuple[int, int, int]]:
+        return self.small.rows() + (self.big.rows() if self.big else [])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, query_block: int = 4096, levels: tuple[int, ...] = (2, 4)) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, query_block: int = 16_384, levels: tuple[int, ...] = (2, 4)) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` largest inner products, ties to the smaller vec_id.
 
-    The query set meets all candidates in blocks of about ``query_block`` queries; only a block is ever
-    broadcast. A candidate with the query's id is the query itself; a candidate of another length is
+    The query set meets all candidates in blocks of about ``query_block`` queries, fewer where they would pass
+    BLOCK_BYTES; only a block is ever broadcast, and candidates stream past it. A candidate with the query's id is the query itself; a candidate of another length is
     no candidate. Of rows that repeat a query's id one vector (the smallest) asks; repeated candidates
     each count. With fewer candidates all are returned; without queries the result is empty.
     """
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score long"
-    asked = quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = asked.count()
+    asked = keep(quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
+    total, longest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     candidates = quantised(vectors, scale)
     out = None
-    n_blocks = -(-total // query_block)
+    n_blocks = max(-(-total // query_block), -(-total * longest * 8 // BLOCK_BYTES))
     for at in range(n_blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == at).orderBy("vec_id").collect()
         block = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in rows])
@@ -117,33 +162,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 25
             by_dim: dict[int, list] = {}
             for qid, v in block.value:
                 by_dim.setdefault(len(v), []).append((qid, v))
-            held: dict[int, list] = {d: [] for d in by_dim}
+            searches = {d: Search(found, k, levels) for d, found in by_dim.items()}
             for batch in stream:
                 lists = batch.column("v")
                 flat, offsets = np.asarray(lists.flatten()), np.asarray(lists.offsets)
                 offsets = offsets - offsets[0]
                 ids, sizes = np.asarray(batch.column("vec_id")), np.diff(offsets)
-                for d in held:
+                for d, own in searches.items():
                     pick = np.nonzero(sizes == d)[0]
-                    if len(pick):
-                        held[d].append((ids[pick], flat[offsets[pick][:, None] + np.arange(d)].astype(np.float32) if np.abs(flat).max(initial=0) < EXACT else flat[offsets[pick][:, None] + np.arange(d)]))
-            rows = []
-            for d, parts in held.items():
-                if not parts:
-                    continue
-                qids = np.array([qid for qid, _ in by_dim[d]])
-                q = np.array([v for _, v in by_dim[d]], float)
-                if max([np.abs(q).max(), *(np.abs(v).max() for _, v in parts)]) * np.sqrt(d) < EXACT * 8:
-                    blocks = ((i[a : a + BLOCK], v[a : a + BLOCK].astype(float)) for i, v in parts for a in range(0, len(i), BLOCK))
-                    ids, scores = best_in(blocks, qids, q, k, levels)
-                    r, c = np.nonzero(np.isfinite(scores))
-                    rows += zip(qids[r].tolist(), ids[r, c].tolist(), scores[r, c].astype(np.int64).tolist())
-                else:
-                    pairs = [(i, v) for ids, vs in parts for i, v in zip(ids.tolist(), vs.tolist())]
-                    rows += [(qid, i, s) for qid, v in by_dim[d] for i, s in big_best(pairs, qid, v, k)]
-            names = ("query_id", "vec_id", "score")
-            columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
+                    for a in range(0, len(pick), BLOCK):
+                        part = pick[a : a + BLOCK]
+                        own.add(ids[part], flat[offsets[part][:, None] + np.arange(d)])
+            for own in searches.values():
+                columns = list(zip(*own.rows())) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=("query_id", "vec_id", "score"))
 
         part = candidates.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)

@@ -238,6 +238,27 @@ def test_top_k_equals_brute_force(spark):
     assert {(r[0], r[1], r[2]) for r in topk.top_k(few, few.where("vec_id % 50 = 0")).collect()} == {(0, 1, 50), (50, 1, 0), (0, 2, 1), (50, 2, 1)}
 
 
+def test_top_k_of_large_components_repeated_rows_and_clashing_columns(spark):
+    rows = [(0, [2.0**40, 1.0], 1, 2), (50, [2.0**39, 3.0], 1, 2), (1, [2.0**41, -5.0], 1, 2), (1, [2.0**41, -5.0], 1, 2), (2, [0.0, 1.0], 1, 2), (3, [], 1, 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v long, score long")
+    got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=3).collect()}
+    q = {i: [int(256 * e) for e in v] for i, v, *_ in rows}
+    exact = lambda a, b: min(2**63 - 1, sum(x * y for x, y in zip(q[a], q[b])))
+    assert got == {(0, 1, 1, exact(0, 1)), (0, 2, 1, exact(0, 1)), (0, 3, 50, exact(0, 50)), (50, 1, 0, exact(50, 0)), (50, 2, 1, exact(50, 1)), (50, 3, 1, exact(50, 1))}
+
+
+def test_bounds_spare_pairs_of_smooth_vectors():
+    rng = np.random.default_rng(6)
+    x = np.floor(40 * np.cumsum(rng.standard_normal((3000, 64)), axis=1))
+    best = topk.Best(np.arange(0, 3000, 50), x[::50], 5, (2, 4))
+    for a in range(0, 3000, 500):
+        best.add(np.arange(a, a + 500), x[a : a + 500])
+    want = {(q, i) for q in range(0, 3000, 50) for _, i in sorted((-int(x[q] @ x[i]), i) for i in range(3000) if i != q)[:5]}
+    assert {(q, i) for q, i, _ in best.rows()} == want
+    print("pairs at each level and scored:", best.met)
+    assert best.met[-1] < best.met[0] / 2
+
+
 @pytest.mark.parametrize("name", ["op4_jaccard", "op7_substrings", "op9_topk", "op10_decontamination", "op2_warc"])
 def test_registered_queries_equal_their_sql(spark, duck, name):
     from tests.conftest import SF, same

@@ -384,6 +384,20 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_parts_hold_as_many_ids(spark):
+    # a third of all documents share one key, and a few are long
+    rows = [(i, 5 << 20 if i % 3 == 0 else (i * 7919) % (1 << 32), 4000 if i % 50 == 0 else 100, b"") for i in range(3000)]
+    dealt, parts = packing.stretches(spark.createDataFrame(rows, "doc_id long, key long, n long, ids binary"), 20_000)
+    sums = [r[0] for r in dealt.groupBy("part").sum("n").select("sum(n)").collect()]
+    assert len(sums) == parts and sum(sums) == sum(r[2] for r in rows) and max(sums) < 40_000
+
+
+def test_packing_has_values_for_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "same text", 7, 8, 9, 1), (1, "same text", 7, 8, 9, 2), (None, "x", 1, 2, 3, 4)], "doc_id long, text string, key long, n long, part int, sequence_id int")
+    got = packing.pack(docs, queries.tokenizer_path()).groupBy("doc_id").count().collect()
+    assert {r[0] for r in got} == {1, None} and sum(r[1] for r in got if r[0] == 1) >= 2
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     order = np.argsort(packing.hilbert(cells, 3))
