@@ -310,19 +310,37 @@ class CefRule(Rule):
 
 # --- Windows events -----------------------------------------------------------------------------
 
-KEY_ONLY = re.compile(r"([\w\s().-]+):\s*")
-PAIR = re.compile(r"(\s*)([\w\s().-]+?)\s*[:=]\s*(\S.*)")
-GOES_ON = re.compile(r"\s{3,}\S.*")
-ENDS = re.compile(r"\d+|0x[0-9a-fA-F]+|S-\d+-\d+.*|\{[0-9a-fA-F-]+\}")
+def indent_of(line: str) -> int:
+    """Width of the white space before the text, tabs to stops of eight."""
+    wide = line.expandtabs(8)
+    return len(wide) - len(wide.lstrip())
 
 
-def may_continue(value: str) -> bool:
-    """Whether further lines can belong to a value: short ones that are no path, address, number or id."""
-    return not re.search(r"[\\@=:]", value) and not ENDS.fullmatch(value) and len(value) <= 50 and (len(value) < 30 or bool(re.fullmatch(r"[A-Z][a-zA-Z]*", value)))
+def split_pair(line: str) -> tuple[str, str, int] | None:
+    """Name, value and the column of the value of a line ``name: value`` or ``name=value``; the value of a section's heading is empty.
+
+    A name is made of words, points, hyphens and brackets and begins with a letter or digit.
+    """
+    cut = min((i for i in (line.find(":"), line.find("=")) if i >= 0), default=-1)
+    name = line[:cut].strip() if cut > 0 else ""
+    if not name or not name[0].isalnum() or not all(c.isalnum() or c in " _.-()" for c in name):
+        return None
+    value = line[cut + 1 :].strip()
+    if line[cut] == "=" and not value:
+        return None
+    return name, value, indent_of(" " * len(line[: cut + 1].expandtabs(8)) + line[cut + 1 :])
+
+
+PROSE, MARKUP = ("Description", "description"), "Event Xml"
 
 
 class WindowsRule(Rule):
-    """``windows_multiline``: pairs, sections of indented pairs, description text, event XML and values over several lines."""
+    """``windows_multiline``: pairs, sections of indented pairs, free text, event XML and values over several lines.
+
+    Where a line belongs is told by its depth alone: a line without a pair that begins at least as deep as the
+    last value's column (and deeper than that value's name) continues the value; an indented pair belongs to the
+    open section; anything else is free text under the last free-text heading, or under ``description``.
+    """
 
     def __init__(self, config: dict):
         self.where = config.get("timestampLocationType", "NO_TIMESTAMP")
@@ -332,48 +350,50 @@ class WindowsRule(Rule):
 
     def read(self, text):
         root: dict = {}
-        section: dict | None = None  # takes indented pairs
-        prose: tuple[str, list[str]] | None = None  # field and lines of free text that is being gathered
-        growing: tuple[dict, str] | None = None  # the value that a deeply indented line would continue
-
-        def close():
-            nonlocal prose
-            if prose and prose[1]:
-                gathered = "\n".join(prose[1]).strip()
-                root[prose[0]] = root[prose[0]] + "\n" + gathered if prose[0] != "Event Xml" and root.get(prose[0]) else gathered
-            prose = None
-
-        for line in text.splitlines():
-            if growing and GOES_ON.fullmatch(line):
-                growing[0][growing[1]] += "\n" + line.strip()
-                continue
+        section: dict | None = None
+        heading = None  # of the free text
+        free: dict[str, list[str]] = {}
+        last: tuple[dict, str, int] | None = None  # holder, name and column of the value that may go on
+        lines = text.splitlines()
+        for line in lines:
             if not line.strip():
+                if heading is None:
+                    last = None
                 continue
-            markup = prose is not None and prose[0] == "Event Xml" and line.lstrip().startswith("<")
-            key, pair = (None, None) if markup else (KEY_ONLY.fullmatch(line), PAIR.fullmatch(line))
-            if key:
-                close()
-                name, growing = key[1].strip(), None
-                if name in ("Description", "description", "Event Xml"):
-                    section, prose = None, (name, [])
+            depth = indent_of(line)
+            if heading == MARKUP and line.lstrip().startswith("<"):
+                free[heading].append(line)
+                continue
+            pair = split_pair(line)
+            if last and pair is None and depth > 0 and depth >= last[2]:
+                last[0][last[1]] += "\n" + line.strip()
+                continue
+            if pair is None:
+                if root or free:
+                    section, last, heading = None, None, heading or "description"
+                    free.setdefault(heading, []).append(line)
+                continue
+            name, value, column = pair
+            heading = None
+            if not value:
+                last = section = None
+                if name in PROSE or name == MARKUP:
+                    heading = name
+                    free.setdefault(name, [])
                 else:
                     section = root[name] = {}
-            elif pair and not (growing and section is None and pair[1]):
-                close()
-                name, value = pair[2].strip(), pair[3].strip()
-                if not pair[1]:
-                    section = None
-                target = root if section is None else section
-                target[name] = value
-                growing = (target, name) if may_continue(value) else None
-            elif root or prose:
-                section, growing = None, None
-                if prose is None:
-                    prose = ("description", [])
-                prose[1].append(line)
-        close()
+                continue
+            if depth == 0:
+                section = None
+            holder = root if section is None else section
+            holder[name] = value
+            last = (holder, name, column)
+        for name, found in free.items():
+            if found:
+                body = "\n".join(found).strip()
+                root[name] = f"{root[name]}\n{body}" if isinstance(root.get(name), str) and root[name] and name != MARKUP else body
         root["__raw__"] = text
-        stamp = (text.splitlines() or [None])[0] if self.where == "FIRST_LINE" else root.get(self.field) if self.where == "FROM_FIELD" else None
+        stamp = (lines or [None])[0] if self.where == "FIRST_LINE" else root.get(self.field) if self.where == "FROM_FIELD" else None
         return root | ({"__ts__": stamp} if isinstance(stamp, str) else {})
 
 
