@@ -1,16 +1,20 @@
 """Removal of repeated passages with a count-min prefilter.
 
-First pass: each task sketches its documents' windows, and the sketches are merged; a window's
-estimate is never below its count. Second pass: only windows estimated to repeat are grouped exactly.
-
-The sketch does not count all windows but their anchors: of the runs of ANCHOR words inside a window
-the one of least hash. Equal windows have equal anchors at equal places, so two occurrences of a
-window are two occurrences of its anchor: the anchor's count is never below the window's, while a
-document has an anchor only every few words. The sketch is one row of 2**40 counters, saturated at
-two and kept sparse as (cell, count) rows, so that it grows with the corpus and merges by sums.
-
-The cells that reach two are handed to the second pass as a bit array of a size that is checked; where
-there are too many of them for that, each document gets its own cells by a join.
+First pass: each task sketches its documents' windows, and the sketches are merged by sums; a window's
+estimate, the minimum over the sketch's rows, is never below its count. Second pass: only windows estimated
+to repeat are grouped exactly.
+
+The sketch has ROWS rows of 2**b counters, b by the size of the corpus, each row with its own hash. It does
+not count all windows but their anchors: of the runs of ANCHOR words inside a window the one of least hash.
+Equal windows have equal anchors at equal places, so two occurrences of a window are two occurrences of its
+anchor: the anchor's estimate is never below the window's count, while a document has an anchor only every
+few words. Counters saturate at two, all that the second pass asks for. A task's sketch is kept sparse, as
+(row and column, count), so it is never larger than its part of the corpus; merged, the columns that reach
+two are a bit array of ROWS * 2**b bits, whose size is checked. Where the corpus asks for more than that,
+columns are not folded to 2**b but to 2**WIDE_BITS, and each document gets its own repeated ones by a join.
+
+Windows are grouped by 96 bits of hash, over words of 64: among N distinct repeated windows about N**2 / 2**97
+pairs may be taken for equal, and among V distinct words V**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import MIX, U64, BitTest, Hasher, batches, binary_column, bit_array, discard, id_text, keep, mix
 
 ANCHOR = 8
-CELL_BITS = 40
+ROWS, WIDE_BITS = 2, 40
+BYTES_A_COLUMN = 12  # of text, about a quarter of an anchor: so sparse are the rows
 CHUNK_WORDS = 400_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -62,7 +67,8 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 class Chunk:
     """Neighbouring documents laid end to end: their words' hashes, windows and windows' anchors."""
 
-    def __init__(self, hasher: Hasher, texts: list[bytes | None], width: int):
+    def __init__(self, hasher: Hasher, texts: list[bytes | None], width: int, bits: int):
+        self.bits = bits
         self.words = [t.split() if t else [] for t in texts]
         lengths = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -78,26 +84,35 @@ class Chunk:
         self.grams, self.span, self.flat = grams, span, flat
 
     def cells(self) -> np.ndarray:
-        """Cells of all anchors, once for each place."""
+        """The counters of all anchors, in each row, once for each place."""
         if not self.whole.any():
             return np.zeros(0, np.int64)
         own = np.where(self.whole, self.anchor, U64(0))
         edge = np.zeros(self.span - 1, U64)
         most = sliding(np.concatenate([edge, own, edge]), self.span, np.maximum)
-        return cell_of(self.grams[(most == self.grams[: len(most)]) & (most > 0)])
+        found = self.grams[(most == self.grams[: len(most)]) & (most > 0)]
+        return np.concatenate([cell_of(found, r, self.bits) for r in range(ROWS)])
 
-    def windows(self, repeated) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the windows whose anchor ``repeated`` accepts."""
+    def windows(self, reaches_two) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, hashes, second hashes) of the windows whose estimate, the least counter of their anchor over the rows, is two or more."""
         at = np.nonzero(self.whole)[0]
-        at = at[repeated(cell_of(self.anchor[at]))] if len(at) else at
-        return at, (runs(self.flat, self.width)[at] if len(at) else np.zeros(0, U64))
+        for r in range(ROWS):
+            at = at[reaches_two(cell_of(self.anchor[at], r, self.bits))] if len(at) else at
+        if not len(at):
+            return at, np.zeros(0, U64), np.zeros(0, np.int32)
+        with np.errstate(over="ignore"):
+            second = runs(mix(self.flat * MIX + U64(7)), self.width)[at]
+        return at, runs(self.flat, self.width)[at], (second >> U64(32)).astype(np.uint32).view(np.int32)
 
     def owners(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
-def cell_of(grams: np.ndarray) -> np.ndarray:
-    return (grams >> U64(64 - CELL_BITS)).astype(np.int64)
+def cell_of(grams: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counter of each run in a row of 2**bits: row and column as one number."""
+    with np.errstate(over="ignore"):
+        mixed = mix(grams + U64(row) * MIX) if row else grams
+    return (mixed >> U64(64 - bits)).astype(np.int64) | (row << bits)
 
 
 def chunked(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
@@ -113,19 +128,23 @@ def chunked(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 
 
 def with_row_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``rid``, the id that orders documents; a null doc_id comes first, as one document."""
-    return id_text(docs).withColumn("rid", F.coalesce("doc_id", F.lit(-(2**63))))
+    """doc_id, text and what orders documents: ``rid``, a null doc_id coming first, and ``tid``, which tells differing texts of one doc_id apart (zero where there are none)."""
+    source = id_text(docs).withColumn("rid", F.coalesce("doc_id", F.lit(-(2**63))))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    if source.select("rid", text.alias("t")).groupBy("rid").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").limit(1).count():
+        return source.withColumn("tid", text)
+    return source.withColumn("tid", F.lit(0).cast("long"))
 
 
-def repeated_cells(source: DataFrame, width: int) -> DataFrame:
-    """Cells whose merged count reaches two: one row each."""
+def repeated_cells(source: DataFrame, width: int, bits: int) -> DataFrame:
+    """Counters whose merged count reaches two: one row each."""
 
     def sketch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in stream:
             texts = binary_column(batch, "text")
             for a, b in chunked(texts):
-                cells, n = np.unique(Chunk(hasher, texts[a:b], width).cells(), return_counts=True)
+                cells, n = np.unique(Chunk(hasher, texts[a:b], width, bits).cells(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.minimum(n, 2).astype(np.int64))], names=["cell", "n"])
 
     sketches = source.select("text").mapInArrow(sketch, "cell long, n long")
@@ -133,17 +152,17 @@ def repeated_cells(source: DataFrame, width: int) -> DataFrame:
 
 
 def own_cells(source: DataFrame, cells: DataFrame, width: int) -> DataFrame:
-    """rid, own: the repeated cells of each document that has any, as sorted longs in binary."""
+    """rid, tid, own: the repeated counters of each document that has any, as sorted longs."""
 
     def anchors(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in stream:
-            for rid, text in zip(batch.column("rid").to_pylist(), binary_column(batch, "text")):
-                found = np.unique(Chunk(hasher, [text], width).cells())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rid, np.int64)), pa.array(found)], names=["rid", "cell"])
+            for rid, tid, text in zip(batch.column("rid").to_pylist(), batch.column("tid").to_pylist(), binary_column(batch, "text")):
+                found = np.unique(Chunk(hasher, [text], width, WIDE_BITS).cells())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rid, np.int64)), pa.array(np.full(len(found), tid, np.int64)), pa.array(found)], names=["rid", "tid", "cell"])
 
-    met = source.select("rid", "text").mapInArrow(anchors, "rid long, cell long").join(cells, "cell", "left_semi")
-    return met.groupBy("rid").agg(F.array_sort(F.collect_set("cell")).alias("own"))
+    met = source.select("rid", "tid", "text").mapInArrow(anchors, "rid long, tid long, cell long").join(cells, "cell", "left_semi")
+    return met.groupBy("rid", "tid").agg(F.array_sort(F.collect_set("cell")).alias("own"))
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 20, max_bits: int = 28, texts: bool = False) -> DataFrame:
@@ -152,20 +171,23 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, max_bits: int = 28, text
     A word goes if a window of ``width`` words of its document covers it whose word sequence also starts
     earlier: in a smaller doc_id, or earlier in the same document. Words are runs of bytes other than
     space and \\t to \\r. Null texts have no words; documents of fewer than ``width`` words lose none.
-    Rows that repeat a doc_id count as one document and each get its result; null ids come first.
-    The bit array holds at least 16 bits a repeated cell and at most 2**max_bits bits; beyond that
-    documents get their cells by a join.
+    Rows that repeat a doc_id with the same text count as one document and each get its result; differing
+    texts of one doc_id are documents of their own, ordered by a hash of the text. Null ids come first.
+    A row of the sketch has 2**b counters, b at most ``max_bits``; for a larger corpus documents get their
+    repeated counters, of 2**WIDE_BITS, by a join.
     """
     spark = docs.sparkSession
     source = with_row_ids(docs)
-    cells = keep(repeated_cells(source, width), "cells")
-    n_cells = cells.count()
-    bits = max(16, (16 * n_cells - 1).bit_length())
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(16, (size // BYTES_A_COLUMN).bit_length())
+    wide = bits > max_bits
+    bits = WIDE_BITS if wide else bits
+    cells = keep(repeated_cells(source, width, bits), "cells")
     shared, given = None, source.withColumn("own", F.lit(None).cast("array<long>"))
-    if bits <= max_bits:
-        shared = spark.sparkContext.broadcast(BitTest(bit_array(cells, bits)))
+    if not wide:
+        shared = spark.sparkContext.broadcast(BitTest(bit_array(cells, bits + (ROWS - 1).bit_length())))
     else:
-        given = source.join(keep(own_cells(source, cells, width), "own"), "rid", "left")
+        given = source.join(keep(own_cells(source, cells, width), "own"), ["rid", "tid"], "left")
 
     def estimate(own):
         """The test of a chunk's cells: the shared bits, or the one document's own cells."""
@@ -180,16 +202,18 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, max_bits: int = 28, text
     def emit(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in stream:
-            bodies, rids, own = binary_column(batch, "text"), np.asarray(batch.column("rid")), batch.column("own").to_pylist()
+            bodies, own = binary_column(batch, "text"), batch.column("own").to_pylist()
+            rids, tids = (np.asarray(batch.column(c)) for c in ("rid", "tid"))
             for a, b in ranges(bodies, own):
-                chunk = Chunk(hasher, bodies[a:b], width)
-                at, hashes = chunk.windows(estimate(own[a]))
+                chunk = Chunk(hasher, bodies[a:b], width, bits)
+                at, hashes, second = chunk.windows(estimate(own[a]))
                 owner = chunk.owners(at)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(rids[a:b][owner]), pa.array((at - chunk.starts[owner]).astype(np.int32))], names=["window", "rid", "at"])
+                columns = hashes.view(np.int64), second, rids[a:b][owner], tids[a:b][owner], (at - chunk.starts[owner]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "second", "rid", "tid", "at"])
 
-    windows = given.select("rid", "text", "own").mapInArrow(emit, "window long, rid long, at int")
-    first = windows.groupBy("window").agg(F.min(F.struct("rid", "at")).alias("first"))
-    kept_at = keep(first.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list("first.at").alias("firsts")), "firsts")
+    windows = given.select("rid", "tid", "text", "own").mapInArrow(emit, "window long, second int, rid long, tid long, at int")
+    first = windows.groupBy("window", "second").agg(F.min(F.struct("rid", "tid", "at")).alias("first"))
+    kept_at = keep(first.groupBy(F.col("first.rid").alias("rid"), F.col("first.tid").alias("tid")).agg(F.collect_list("first.at").alias("firsts")), "firsts")
 
     def finish(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -200,8 +224,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, max_bits: int = 28, text
             for batch in stream:
                 ids, bodies, own, firsts = batch.column("doc_id").to_pylist(), binary_column(batch, "text"), batch.column("own").to_pylist(), batch.column("firsts")
                 for a, b in ranges(bodies, own):
-                    chunk = Chunk(hasher, bodies[a:b], width)
-                    at, _ = chunk.windows(estimate(own[a]))
+                    chunk = Chunk(hasher, bodies[a:b], width, bits)
+                    at, _, _ = chunk.windows(estimate(own[a]))
                     gone = np.zeros(len(chunk.flat) + 1, np.int64)
                     first = np.zeros(len(chunk.flat) + 1, bool)
                     for i in range(a, b):
@@ -220,6 +244,6 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, max_bits: int = 28, text
 
         yield from batches(rows(), schema, 2000)
 
-    out = given.join(kept_at, "rid", "left").select("doc_id", "text", "own", "firsts").mapInArrow(finish, SCHEMA + (", kept string" if texts else ""))
+    out = given.join(kept_at, ["rid", "tid"], "left").select("doc_id", "text", "own", "firsts").mapInArrow(finish, SCHEMA + (", kept string" if texts else ""))
     discard(cells)
     return out

@@ -190,6 +190,32 @@ def test_substrings_defined_cases(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_of_differing_texts_of_one_id(spark):
+    a, x = " ".join(f"a{i}" for i in range(30)), " ".join(f"x{i}" for i in range(30))
+    for max_bits in (28, 0):
+        docs = spark.createDataFrame([(1, a), (2, x), (2, a), (3, x)], "doc_id long, text string")
+        got = sorted(map(tuple, substrings.remove_repeats(docs, texts=True, max_bits=max_bits).select("doc_id", "n_removed", "kept").collect()))
+        assert got == [(1, 0, a), (2, 0, x), (2, 30, ""), (3, 30, "")]
+
+
+def test_count_min_never_underestimates():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(400)).encode() for _ in range(30)]
+    texts += [b" ".join(t.split()[50:120]) for t in texts[:10]]
+    hasher, bits = substrings.Hasher(), 12  # far too few columns: most estimates are too high
+    whole = substrings.Chunk(hasher, texts, 20, bits)
+    cells, n = np.unique(whole.cells(), return_counts=True)
+    counts = np.zeros(substrings.ROWS << bits, int)
+    counts[cells] = n
+    seen = Counter(tuple(w[i : i + 20]) for w in whole.words for i in range(len(w) - 19))
+    at = np.nonzero(whole.whole)[0]
+    estimate = np.minimum(*(counts[substrings.cell_of(whole.anchor[at], r, bits)] for r in range(2)))
+    flat = [w for ws in whole.words for w in ws]
+    true = np.array([seen[tuple(flat[i : i + 20])] for i in at])
+    assert (estimate >= true).all() and len(set(substrings.cell_of(whole.anchor[at], 0, bits).tolist()) & set(substrings.cell_of(whole.anchor[at], 1, bits).tolist())) == 0
+    print("mean and largest overestimate:", (estimate - true).mean(), (estimate - true).max())
+
+
 def test_contained_items_equal_brute_force(spark):
     rng = random.Random(7)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 60)))) for i in range(30)] + [(30, None), (31, "..."), (0, None)]
