@@ -45,6 +45,36 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray) ->
     return post, expected, partition
 
 
+def posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Posteriors of whole chains of any length, laid end to end in ``scores`` (n, labels), as forward_backward gives them.
+
+    Chains are ordered by length, so that at each place those still running are the first ones: alpha and beta
+    are carried along them and nothing is padded.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    size = lengths[order]
+    running = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), "left").tolist()
+    e, m = np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(trans - trans.max()).astype(scores.dtype)
+    alpha, scale = np.empty_like(e), np.empty((len(e), 1), e.dtype)
+    a = np.zeros((0, e.shape[1]), e.dtype)
+    for t in range(len(running) - 1):
+        rows = starts[: running[t]] + t
+        a = e[rows] * (a[: running[t]] @ m) if t else e[rows]
+        s = a.sum(axis=1, keepdims=True)
+        a = a / s
+        alpha[rows], scale[rows] = a, s
+    out = alpha
+    beta = np.ones((len(starts), e.shape[1]), e.dtype)
+    for t in range(len(running) - 3, -1, -1):
+        n = running[t + 1]
+        rows = starts[:n] + t
+        beta[:n] = (e[rows + 1] * beta[:n] / scale[rows + 1]) @ m.T
+        p = alpha[rows] * beta[:n]
+        out[rows] = p / p.sum(axis=1, keepdims=True)
+    return out
+
+
 def viterbi(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The best label of each place (chains, T); ties go to the smaller label; padding repeats the last label."""
     n, t, k = scores.shape

@@ -22,7 +22,6 @@ from .common import U64, batches, held_out, id_text, in_small_batches, mix
 WORD = re.compile(r"[^\W\d_]+")
 TABLE = 1 << 17
 GRAMS = (2, 3, 4)
-CHAIN = 64
 PIECE = 64  # bytes of a word; longer runs of letters are consecutive words of at most as many
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -83,26 +82,19 @@ class LanguageModel:
         return out
 
     def posteriors(self, words: list[bytes], lengths: np.ndarray) -> np.ndarray:
-        """Summed word posteriors of each text (texts, languages); chains are runs of at most CHAIN words of one text."""
+        """Word posteriors (words, languages); each text's words are one chain, of whatever length."""
         index: dict[bytes, int] = {}
         at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        e = self.emissions(list(index))
-        pieces = -(-lengths // CHAIN)
-        owner = np.repeat(np.arange(len(lengths)), pieces)
-        last = np.cumsum(pieces) - 1
-        chain = np.full(int(pieces.sum()), CHAIN)
-        full = pieces > 0
-        chain[last[full]] = lengths[full] - (pieces[full] - 1) * CHAIN
-        total, done = np.zeros((len(lengths), len(self.languages))), 0
-        for a in range(0, len(chain), 4096):
-            part = chain[a : a + 4096]
-            x, mask = crf.padded(e[at[done : done + part.sum()]], part)
-            post, _, _ = crf.forward_backward(x, mask, self.trans)
-            sums = (post * mask[:, :, None]).sum(axis=1)
-            for j in range(len(self.languages)):
-                total[:, j] += np.bincount(owner[a : a + 4096], sums[:, j], len(lengths))
-            done += int(part.sum())
-        return total
+        return crf.posteriors(self.emissions(list(index))[at], lengths, self.trans)
+
+
+def text_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each text; zero for texts without."""
+    out = np.zeros((len(lengths), values.shape[1]))
+    full = np.flatnonzero(lengths)
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(float), (np.cumsum(lengths) - lengths)[full], axis=0)
+    return out
 
 
 def training_rows(docs: DataFrame, per_language: int, texts: int, words_per_text: int = 800) -> list[tuple[str, str]]:
@@ -135,7 +127,7 @@ def spread(words: list[bytes], most: int) -> list[bytes]:
     return [w for a in starts for w in words[a : a + 40]]
 
 
-def fit_language(docs: DataFrame, *, per_language: int = 400, texts: int = 25_600, words_per_text: int = 800, seed: int = 5) -> LanguageModel | None:
+def fit_language(docs: DataFrame, *, per_language: int = 300, texts: int = 25_600, words_per_text: int = 400, seed: int = 5) -> LanguageModel | None:
     """A model from a bounded sample: at most about ``per_language`` texts of each language, fewer (but about 20) where these are more than ``texts``; every value that is not null is learned.
 
     Training chains splice runs of 8 to 64 words of differing documents, so that switches are seen.
@@ -172,44 +164,73 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     ``und`` with score 0 where the text is null or has no letter, or no model could be learned. Ties go to
     the language first in order. Repeated rows repeat; only text is an input.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
         own = shared.value
 
-        def decided(ids, held, texts):
-            flat, lengths = [], []
-            for t in texts:
-                w = words_of(t) if t else []
-                w = [] if w == [b""] else w
-                flat += w
-                lengths.append(len(w))
-            lengths = np.array(lengths, np.int64)
-            if own is None or not len(flat):
-                return [(i, h, "und", 0.0) for i, h in zip(ids, held)]
-            total = own.posteriors(flat, lengths)
-            best = total.argmax(axis=1)
-            score = np.clip(total[np.arange(len(best)), best] / np.maximum(lengths, 1), 0, 1)
-            return [(i, h, own.languages[b] if n else "und", float(s) if n else 0.0) for i, h, b, s, n in zip(ids, held, best, score, lengths)]
+        def rows():
+            for part in lots(stream, ("doc_id", "held_out", "text")):
+                texts = [chain_of(t) for _, _, t in part]
+                lengths = np.array([len(w) for w in texts], np.int64)
+                if own is None or not lengths.any():
+                    yield from ((i, h, "und", 0.0) for i, h, _ in part)
+                    continue
+                total = text_sums(own.posteriors([w for ws in texts for w in ws], lengths), lengths)
+                best = total.argmax(axis=1)
+                score = np.clip(total[np.arange(len(best)), best] / np.maximum(lengths, 1), 0, 1)
+                for (i, h, _), b, x, n in zip(part, best.tolist(), score.tolist(), lengths.tolist()):
+                    yield (i, h, own.languages[b], x) if n else (i, h, "und", 0.0)
+
+        yield from batches(rows(), schema)
+
+    return id_text(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(predict, SCHEMA)
+
+
+def chain_of(text: str | None) -> list[bytes]:
+    words = words_of(text) if text else []
+    return [] if words == [b""] else words
+
+
+def lots(stream: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int = 8_000_000) -> Iterator[list[tuple]]:
+    """Rows, the text last, in lots of about ``most`` characters: long chains run beside others."""
+    held, size = [], 0
+    for batch in stream:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            held.append(row)
+            size += len(row[-1] or "")
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def label_words(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, words, langs: the language of every word of code-switched text, by its own posterior (ties go to the language first in order).
+
+    Words are lower-cased runs of letters, longer ones in consecutive pieces; null texts have none; repeated rows repeat.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def label(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string()))])
+        own = shared.value
 
         def rows():
-            for batch in stream:
-                ids, held, texts = (batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))
-                a = 0
-                while a < len(ids):  # about a million characters at once
-                    b, size = a, 0
-                    while b < len(ids) and (b == a or size < 1_000_000):
-                        size += len(texts[b] or "")
-                        b += 1
-                    yield from decided(ids[a:b], held[a:b], texts[a:b])
-                    a = b
+            for part in lots(stream, ("doc_id", "text")):
+                texts = [chain_of(t) for _, t in part]
+                lengths = np.array([len(w) for w in texts], np.int64)
+                best = own.posteriors([w for ws in texts for w in ws], lengths).argmax(axis=1) if lengths.any() else []
+                at = 0
+                for (i, _), words in zip(part, texts):
+                    yield i, [w.decode() for w in words], [own.languages[b] for b in best[at : at + len(words)]]
+                    at += len(words)
 
         yield from batches(rows(), schema)
 
-    source = id_text(docs)
-    return source.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(predict, SCHEMA)
+    return id_text(docs).mapInArrow(label, "doc_id long, words array<string>, langs array<string>")
 
 
 def identify(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

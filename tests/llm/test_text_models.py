@@ -193,13 +193,52 @@ def test_language_on_the_held_out_fold_and_in_mixed_text(spark):
     assert sum(p == y for p, y in held) / len(held) >= 0.97
     texts = {lang: next(r[0] for r in docs.where(f"lang = '{lang}'").select("text").collect() if len(r[0]) > 400) for lang in ("en", "fr")}
     words = [language.words_of(texts[k])[:40] for k in ("en", "fr")]
-    total = model.posteriors(words[0] + words[1], np.array([80]))
-    share = dict(zip(model.languages, total[0] / 80))
+    post = model.posteriors(words[0] + words[1], np.array([80]))
+    share = dict(zip(model.languages, post.mean(axis=0)))
     assert 0.3 < share["en"] < 0.7 and 0.3 < share["fr"] < 0.7
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !!"), (4, "thé the " * 40_000)], "doc_id long, text string")
     assert [r["lang_pred"] for r in language.predict_language(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
 
 
+def test_whole_chains_equal_padded_ones():
+    rng = np.random.default_rng(11)
+    lengths = np.array([3, 0, 700, 1, 64, 65, 0, 130])
+    flat, trans = rng.standard_normal((lengths.sum(), 3)), rng.standard_normal((3, 3))
+    x, mask = crf.padded(flat, lengths[lengths > 0])
+    post, _, _ = crf.forward_backward(x, mask, trans)
+    assert np.allclose(crf.posteriors(flat, lengths, trans), post[mask])
+    assert crf.posteriors(flat[:0], lengths[:0], trans).shape == (0, 3)
+
+
+def test_language_of_query_rows_equals_a_plain_version(spark):
+    docs = table(spark, SMALL, "documents")
+    model = language.fit_language(docs, per_language=40)
+    twice = docs.unionByName(docs).selectExpr("*", "1 as score", "'x' as lang_pred", "true as held_out")
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language.predict_language(twice, model).collect())
+    assert got[::2] == got[1::2]
+    for (i, lang, score), r in zip(got[::20], docs.orderBy("doc_id").collect()[::10]):
+        words = language.chain_of(r["text"])
+        x, mask = crf.padded(model.emissions(words), np.array([len(words)]))
+        mean = crf.forward_backward(x, mask, model.trans)[0][0].mean(axis=0)
+        assert i == r["doc_id"] and lang == model.languages[mean.argmax()] and score == pytest.approx(mean.max(), abs=1e-4)
+
+
+def test_language_labels_words_of_both_parts(spark):
+    rng = np.random.default_rng(12)
+    parts = {"en": "the house stands near a small river and they walk there every day with friends".split(), "zh": "我们今天在河边的小房子里看书喝茶然后回家"}
+    rows = []
+    for i in range(120):
+        zh = "".join(rng.permutation(list(parts["zh"]))[:12])
+        rows += [(4 * i, " ".join(rng.permutation(parts["en"])[:10]), "en"), (4 * i + 1, zh, "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs)
+    mixed = spark.createDataFrame([(1, "they walk near the small river " + parts["zh"] * 150), (2, "the small house stands near " + parts["zh"][:9]), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict_language(mixed, model).collect()}
+    assert got[1][0] == "zh" and got[2][0] == "en" and got[3] == ("und", 0.0)
+    labels = {r["doc_id"]: list(zip(r["words"], r["langs"])) for r in language.label_words(mixed, model).collect()}
+    assert labels[2] == [(w, "en") for w in "the small house stands near".split()] + [(parts["zh"][:9], "zh")] and labels[3] == []
+
+
 def test_language_words_keep_all_of_a_long_run():
     runs = ["字" * 100, "a" * 64, "é" * 50 + "z" * 500, "x" * 65]
     for run in runs:
