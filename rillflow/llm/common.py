@@ -83,7 +83,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: rows that cross to Python at once: texts are long, so Spark's 10,000 would be too many
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Tuples to record batches of bounded length and, as rows may be large, bounded bytes (one row more at most)."""
     wide = [i for i, f in enumerate(schema) if pa.types.is_binary(f.type) or pa.types.is_string(f.type) or pa.types.is_list(f.type)]
     held: list[tuple] = []
