@@ -23,7 +23,7 @@ from ..operators.base import Result
 from ..operators.files import read_listed_files
 from ..operators.parser import parse
 from ..sources.inputs import SOURCES, read
-from ..sources.outputs import SINKS, Delivery, write, write_dead_letters
+from ..sources.outputs import SINKS, Delivery, settle, write, write_dead_letters
 from .sql import sqleval
 
 Transform = Callable[[DataFrame, dict], Result]
@@ -218,6 +218,7 @@ def execute(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame] | Non
     for i, df in run.sink_inputs.items():
         run.deliveries[i] = write(df, dag.nodes[i].command, dag.nodes[i].config)
     place = dead_letter_path(dag.context)
+    settle(run.deliveries, place)
     errors = run.all_errors()
     if place and errors is not None:
         write_dead_letters(errors, place)

@@ -5,6 +5,7 @@ All run on whole tables. Results are plain columns, so that both engines' values
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from ..operators.base import Result
 from ..operators.core import assertion, evaluate, keep, noop
 from ..operators.parser import parse
-from ..sources.encodings import decode, encode
-from .dag import Dag, plan
+from ..sources.encodings import decode, encode, read_files, write_files
+from ..sources.inputs import read
+from ..sources.outputs import write
+from .dag import Dag, execute, plan
 from .flow import Flow
 from .sql import run_sql
 
@@ -335,6 +338,82 @@ def encoding_xml(spark, d):
     return decode(lines, "value", "XML", schema="id string, name string")[0]
 
 
+# --- sources and sinks: every row is written by a sink and read back by a source -----------------
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
+
+
+def through(name: str, encoding: str, source: str = "filesource", more: dict | None = None) -> None:
+    @query(name, "SELECT p_partkey, p_name, p_size FROM part")
+    def build(spark, d):
+        path = scratch(spark)
+        write(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "s3sink", {"path": path, "encodingType": encoding})
+        where = {"root": path} if source == "fssource" else {"path": path} if source in ("s3rtsource", "reader") else {"filePath": path}
+        return read(spark, source, where | {"encodingType": encoding, "schema": table(spark, d, "part").select("p_partkey", "p_name", "p_size").schema} | (more or {}))
+
+
+through("file_csv", "CSV")
+through("file_json_lines", "JSON_OBJECT_LINE")
+through("source_fssource", "JSON_OBJECT_LINE", "fssource", {"fileNameRegex": "part-.*json"})
+through("source_s3rtsource", "JSON_OBJECT_LINE", "s3rtsource", {"maxObjectSizeBytes": 1 << 30})
+through("source_reader", "CSV", "reader")
+
+
+@query("file_parquet", "SELECT p_partkey, p_name, p_size FROM part")
+def file_parquet(spark, d):
+    path = scratch(spark)
+    write(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "gcssink", {"path": path, "encodingType": "PARQUET"})
+    return read_files(spark, path, "PARQUET")
+
+
+@query("file_text_gzip", "SELECT p_name AS \"__raw__\" FROM part")
+def file_text_gzip(spark, d):
+    path = scratch(spark)
+    write_files(table(spark, d, "part").select(F.col("p_name").alias("__raw__")), path, "STRING_LINE", options={"compression": "gzip"})
+    return read(spark, "filesource", {"filePath": path, "encodingType": "STRING_LINE"})
+
+
+@query("sink_lake", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+def sink_lake(spark, d):
+    path = scratch(spark)
+    for _ in range(2):  # an append
+        write(table(spark, d, "nation").select("n_nationkey", "n_name"), "deltalakesink", {"tablePath": path, "format": "parquet"})
+    return spark.read.parquet(path)
+
+
+@query("dead_letters", "SELECT count(*) AS n, 'check' AS node FROM orders WHERE NOT o_totalprice < 300000")
+def dead_letters(spark, d):
+    path = scratch(spark)
+    dag = Dag.from_dict({"jobContext": {"dlqConfig": {"path": f"{path}/dlq"}}, "dag": [{"id": "in", "commandName": "filesource", "config": {"filePath": "given", "encodingType": "JSON_OBJECT"}, "outputs": ["check"]}, {"id": "check", "commandName": "assertion", "config": {"expression": "$.o_totalprice < 300000"}, "outputs": ["out"]}, {"id": "out", "commandName": "s3sink", "config": {"path": f"{path}/out", "encodingType": "PARQUET"}}]})
+    execute(spark, dag, inputs={"in": table(spark, d, "orders")})
+    found = spark.read.parquet(f"{path}/dlq/dead-letters")
+    return found.groupBy(F.col("nodeId").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_available_now", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice FROM lineitem WHERE l_quantity > 49")
+def stream_available_now(spark, d):
+    path = scratch(spark)
+    table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition(3).write.json(f"{path}/in")
+    schema = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").schema
+    dag = Dag.from_dict({"dag": [
+        {"id": "in", "commandName": "filesource", "config": {"filePath": f"{path}/in", "encodingType": "JSON_OBJECT_LINE", "schema": schema, "maxFilesPerTrigger": 1}, "outputs": ["big"]},
+        {"id": "big", "commandName": "filter", "config": {"expression": "$.l_quantity > 49"}, "outputs": ["twice"]},
+        {"id": "twice", "commandName": "eval", "config": {"expression": "dict(l_orderkey=$.l_orderkey, l_linenumber=$.l_linenumber, twice=$.l_quantity * 2)"}, "outputs": ["out"]},
+        {"id": "out", "commandName": "s3sink", "config": {"path": f"{path}/out", "encodingType": "PARQUET"}},
+    ]})
+    from ..streaming.runner import run_stream
+
+    for running in run_stream(spark, dag, f"{path}/checkpoint", available_now=True):
+        running.awaitTermination()
+        if running.exception():
+            raise running.exception()
+    return spark.read.parquet(f"{path}/out")
+
+
 # --- the flagship ---------------------------------------------------------------------------------
 
 

@@ -56,7 +56,7 @@ BACKENDS = {"file": "file://", "s3": "s3a://", "gs": "gs://", "azblob": "wasbs:/
 
 @source("fssource")
 def fssource(spark, config, streaming=False):
-    """Files under a root whose names match; bad files are skipped; a stream's checkpoint is the resume position.
+    """Files under a root whose names match; corrupt files fail the job unless ``skipCorruptFiles``; a stream's checkpoint is the resume position.
 
     ``replicas`` and ``replica`` deal the files by a hash of their path.
     """
@@ -65,7 +65,7 @@ def fssource(spark, config, streaming=False):
     if backend not in BACKENDS:
         raise ExpressionError(f"unknown backend {backend}")
     root = config["root"] if "://" in config["root"] or backend == "file" else BACKENDS[backend] + config["root"]
-    options = {"recursiveFileLookup": "true", "ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} | stream_options(config, streaming)
+    options = {"recursiveFileLookup": "true", "ignoreCorruptFiles": str(bool(config.get("skipCorruptFiles"))).lower(), "ignoreMissingFiles": "true"} | stream_options(config, streaming)
     df = read_files(spark, root, encoding_of(config), schema=config.get("schema"), streaming=streaming, options=options)
     columns = df.columns
     if config.get("fileNameRegex"):

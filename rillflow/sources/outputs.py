@@ -27,8 +27,19 @@ RETRIES, FIRST_DELAY = 3, 1.0
 
 @dataclass(frozen=True)
 class Delivery:
+    """Counts, and the records that were not taken (event, errorMessage) where there are any."""
+
     inputCount: int
     successCount: int
+    failed: DataFrame | None = None
+
+
+class NotTaken(Exception):
+    """A service took a batch in part: places of the records that it refused, with its words."""
+
+    def __init__(self, refused: dict[int, str]):
+        super().__init__(f"{len(refused)} records refused")
+        self.refused = refused
 
 
 SINKS: dict[str, Callable[[DataFrame, dict], Delivery]] = {}
@@ -84,10 +95,12 @@ def files(df, config):
 
 @sink("deltalakesink", "databrickssink")
 def lake(df, config):
-    """An append to a table path (or named table); Delta where its format is installed, else Parquet."""
+    """An append to a table path (or named table) as Delta, or as ``format`` says."""
     if config.get("avroSchema"):
         df = fitted(df, config["avroSchema"])
-    kind = config.get("format") or ("delta" if has_format(df, "io.delta.sql.DeltaSparkSessionExtension") else "parquet")
+    kind = config.get("format") or "delta"
+    if kind == "delta" and not has_format(df, "io.delta.sql.DeltaSparkSessionExtension"):
+        raise ExpressionError("Delta is not installed; set format to write another table format")
 
     def write(d):
         w = d.write.format(kind).mode("append")
@@ -254,49 +267,77 @@ PREPARE |= {"influxdbsink": influx_lines, "splunkhecsink": splunk_events, "elast
 
 
 def delivered(df: DataFrame, config: dict, send: Callable[[list], None]) -> Delivery:
-    """Sends rows in batches from the executors; a batch that fails after its retries counts as not delivered."""
+    """Sends rows in batches from the executors. What a service refuses, the whole batch or some of it, is sent again up to three times, then given back with the last error."""
     size = int(config.get("batchSize") or 500)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        got = good = 0
-        rows: list = []
+        def out(got: int, good: int, lost: list) -> pa.RecordBatch:
+            events = [None, *(json.dumps(r, default=str) for r, _ in lost)]
+            pad = [0] * len(lost)
+            return pa.RecordBatch.from_arrays([pa.array([got, *pad]), pa.array([good, *pad]), pa.array(events, pa.string()), pa.array([None, *(e for _, e in lost)], pa.string())], names=["got", "good", "event", "errorMessage"])
 
-        def flush():
-            nonlocal good, rows
+        def flush(rows: list) -> pa.RecordBatch:
+            left, errors = list(rows), [""] * len(rows)
             for attempt in range(RETRIES + 1):
                 try:
-                    send(rows)
-                    good += len(rows)
-                    break
-                except Exception:  # the service said no: again, then give up on this batch
-                    if attempt < RETRIES:
-                        time.sleep(config.get("firstDelaySeconds", FIRST_DELAY) * 2**attempt)
-            rows = []
+                    send(left)
+                    return out(len(rows), len(rows), [])
+                except NotTaken as e:
+                    left, errors = [left[i] for i in sorted(e.refused)], [e.refused[i] for i in sorted(e.refused)]
+                except Exception as e:
+                    errors = [f"{type(e).__name__}: {e}"] * len(left)
+                if attempt < RETRIES:
+                    time.sleep(config.get("firstDelaySeconds", FIRST_DELAY) * 2**attempt)
+            return out(len(rows), len(rows) - len(left), list(zip(left, errors)))
 
+        rows: list = []
         for b in batches:
             for r in b.to_pylist():
-                got += 1
                 rows.append(r)
                 if len(rows) >= size:
-                    flush()
+                    yield flush(rows)
+                    rows = []
         if rows:
-            flush()
-        yield pa.RecordBatch.from_pydict({"got": [got], "good": [good]})
+            yield flush(rows)
+
+    from pyspark import StorageLevel
+
+    # kept, as reading the failures must not send anything again
+    sent = df.mapInArrow(run, "got long, good long, event string, errorMessage string").persist(StorageLevel.DISK_ONLY)
+    got, good = sent.agg(F.coalesce(F.sum("got"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if got == good:
+        sent.unpersist()
+        return Delivery(got, good)
+    return Delivery(got, good, sent.where("event is not null").select("event", "errorMessage"))
+
+
+def settle(deliveries: dict[str, Delivery], place: str | None) -> None:
+    """Records that sinks did not take go to the dead letters; without a place for them the run fails, so that nothing is lost unseen."""
+    for node, d in deliveries.items():
+        if d.failed is not None:
+            if not place:
+                raise RuntimeError(f"sink {node} took {d.successCount} of {d.inputCount} records, and no dead letters are configured")
+            write_dead_letters(d.failed.withColumn("nodeId", F.lit(node)), place)
+
 
-    total = df.mapInArrow(run, "got long, good long").agg(F.coalesce(F.sum("got"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    return Delivery(*total)
+def refused_items(answer: object) -> None:
+    """Items of a bulk answer that carry an error."""
+    items = answer.get("items") or [] if isinstance(answer, dict) and answer.get("errors") else []
+    refused = {i: json.dumps(next(iter(x.values()))["error"]) for i, x in enumerate(items) if "error" in next(iter(x.values()), {})}
+    if refused:
+        raise NotTaken(refused)
 
 
-def posts(command: str, address: Callable[[dict], str], join: Callable[[list[str]], str], kind: str, head: Callable[[dict], dict] = basic):
+def posts(command: str, address: Callable[[dict], str], join: Callable[[list[str]], str], kind: str, head: Callable[[dict], dict] = basic, check: Callable[[object], None] = lambda answer: None):
     """A sink that posts joined messages to an address."""
 
     def write(df: DataFrame, config: dict) -> Delivery:
         url, headers = address(config), head(config) | {"Content-Type": kind}
 
         def send(rows):
-            http(url, data=join([r["value"] for r in rows]).encode(), headers=headers, method="POST")
+            check(http(url, data=join([r["value"] for r in rows]).encode(), headers=headers, method="POST"))
 
         return delivered(PREPARE[command](df, config), config, send)
 
@@ -309,7 +350,7 @@ def token(config: dict) -> dict:
 
 posts("influxdbsink", lambda c: f"{c['url'].rstrip('/')}/api/v2/write?org={c.get('org', '')}&bucket={c.get('bucket', '')}&precision={str(c.get('precision', 'MS')).lower()}", "\n".join, "text/plain")
 posts("splunkhecsink", lambda c: f"{c['hecUrl'].rstrip('/')}/services/collector/event", "\n".join, "application/json", token)
-posts("elasticsearchsink", lambda c: f"{c['host'].rstrip('/')}/_bulk", "".join, "application/x-ndjson")
+posts("elasticsearchsink", lambda c: f"{c['host'].rstrip('/')}/_bulk", "".join, "application/x-ndjson", check=refused_items)
 posts("azuremonitorsink", lambda c: f"{c['dceEndpoint'].rstrip('/')}/dataCollectionRules/{c['dcrImmutableId']}/streams/{c['streamName']}?api-version=2023-01-01", lambda v: "[" + ",".join(v) + "]", "application/json")
 posts("zerobussink", lambda c: f"{c['zerobusEndpoint'].rstrip('/')}/{c['tableName']}", lambda v: "[" + ",".join(v) + "]", "application/json")
 
@@ -323,16 +364,22 @@ def queue_sink(command: str, send_of: Callable[[dict], Callable[[list], None]]):
 
 def sqs_send(config):
     def send(rows):
-        client = library("boto3").client("sqs")
+        client, refused = library("boto3").client("sqs"), {}
         for a in range(0, len(rows), 10):
-            client.send_message_batch(QueueUrl=config["queueUrl"], Entries=[{"Id": str(i), "MessageBody": r["value"]} | ({"MessageGroupId": r["key"]} if r["key"] else {}) for i, r in enumerate(rows[a : a + 10])])
+            answer = client.send_message_batch(QueueUrl=config["queueUrl"], Entries=[{"Id": str(i), "MessageBody": r["value"]} | ({"MessageGroupId": r["key"]} if r["key"] else {}) for i, r in enumerate(rows[a : a + 10])])
+            refused |= {a + int(x["Id"]): x.get("Message") or x.get("Code") or "refused" for x in (answer or {}).get("Failed") or []}
+        if refused:
+            raise NotTaken(refused)
 
     return send
 
 
 def kinesis_send(config):
     def send(rows):
-        library("boto3").client("kinesis").put_records(StreamName=config["streamName"], Records=[{"Data": r["value"].encode(), "PartitionKey": r["key"] or str(i)} for i, r in enumerate(rows)])
+        answer = library("boto3").client("kinesis").put_records(StreamName=config["streamName"], Records=[{"Data": r["value"].encode(), "PartitionKey": r["key"] or str(i)} for i, r in enumerate(rows)])
+        refused = {i: x.get("ErrorMessage") or x["ErrorCode"] for i, x in enumerate((answer or {}).get("Records") or []) if x.get("ErrorCode")}
+        if refused:
+            raise NotTaken(refused)
 
     return send
 

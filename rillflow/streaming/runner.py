@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.dag import Dag, Run, dead_letter_path, plan
 from ..sources.inputs import read
-from ..sources.outputs import write, write_dead_letters
+from ..sources.outputs import settle, write, write_dead_letters
 
 
 def run_stream(spark: SparkSession, dag: Dag, checkpoint: str, *, available_now: bool = False, trigger: str = "5 seconds", on_batch: Callable[[Run, int], None] | None = None) -> list[StreamingQuery]:
@@ -34,6 +34,7 @@ def run_stream(spark: SparkSession, dag: Dag, checkpoint: str, *, available_now:
                 for i, df in run.sink_inputs.items():
                     run.deliveries[i] = write(df, part.nodes[i].command, part.nodes[i].config)
                 place, errors = dead_letter_path(dag.context), run.all_errors()
+                settle(run.deliveries, place)
                 if place and errors is not None:
                     write_dead_letters(errors, place)
                 if on_batch:

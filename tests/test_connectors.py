@@ -256,3 +256,34 @@ def test_avro_schemas(spark):
     assert str(r[0]) == "2022-01-08" and r[1] == 1700000000000
     with pytest.raises(ExpressionError):
         spark_type(["null", "int", "string"])
+
+
+def test_refused_items_are_sent_again_then_given_back(spark, tmp_path):
+    from rillflow.plans.dag import Dag, execute
+
+    refusal = {"errors": True, "items": [{"index": {"status": 201}}, {"index": {"status": 400, "error": {"reason": "no"}}}]}
+    service = Service([refusal, {"errors": True, "items": [{"index": {"status": 400, "error": {"reason": "no"}}}]}] + [{"errors": True, "items": [{"index": {"status": 400, "error": {"reason": "still no"}}}]}] * 2)
+    df = spark.createDataFrame([(1,), (2,)], "a long").coalesce(1)
+    config = {"host": service.url, "index": "i", "firstDelaySeconds": 0}
+    nodes = [{"id": "in", "commandName": "filesource", "config": {"filePath": "given", "encodingType": "JSON_OBJECT"}, "outputs": ["es"]}, {"id": "es", "commandName": "elasticsearchsink", "config": config}]
+    run = execute(spark, Dag.from_dict({"jobContext": {"dlqConfig": {"path": str(tmp_path)}}, "dag": nodes}), inputs={"in": df})
+    assert (run.deliveries["es"].inputCount, run.deliveries["es"].successCount) == (2, 1)
+    # of four posts the later ones hold the refused record alone
+    assert [b.count("_index") for _, _, b, _ in service.requests] == [2, 1, 1, 1]
+    (lost,) = spark.read.parquet(f"{tmp_path}/dead-letters").collect()
+    assert '\\"a\\":2' in bytes(lost["value"]).decode() and "still no" in lost["errorMessage"] and lost["nodeId"] == "es"
+
+
+def test_a_sink_that_fails_without_dead_letters_fails_the_run(spark):
+    from rillflow.plans.dag import Dag, execute
+
+    service = Service(fail_first=99)
+    nodes = [{"id": "in", "commandName": "filesource", "config": {"filePath": "given", "encodingType": "JSON_OBJECT"}, "outputs": ["hec"]}, {"id": "hec", "commandName": "splunkhecsink", "config": {"hecUrl": service.url, "firstDelaySeconds": 0}}]
+    with pytest.raises(RuntimeError, match="took 0 of 1"):
+        execute(spark, Dag.from_dict({"dag": nodes}), inputs={"in": spark.createDataFrame([(1,)], "a long")})
+    assert not service.requests
+
+
+def test_delta_is_never_replaced_silently(spark, tmp_path):
+    with pytest.raises(ExpressionError, match="Delta is not installed"):
+        write(spark.createDataFrame([(1,)], "a long"), "deltalakesink", {"tablePath": str(tmp_path / "t")})
