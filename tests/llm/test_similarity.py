@@ -70,6 +70,7 @@ def test_groups_larger_than_a_page(spark, stars, monkeypatch):
     # without stars every link comes by the tree: all pairs that are verified are its own
     monkeypatch.setattr(jaccard, "PAGE", 32)
     monkeypatch.setattr(jaccard, "LOT", 100)
+    monkeypatch.setattr(jaccard, "STAR", 1)
     texts = near_copies(3, groups=3, size=110)
     got = {r[0]: (r[1], r[2]) for r in jaccard.similar_sets(frame(spark, texts), width=3, num=90, den=100, stars=stars).collect()}
     want = brute_components(texts, 3, 90, 100)
