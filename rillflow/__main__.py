@@ -37,6 +37,7 @@ def main(args: list[str] | None = None) -> int:
     run = execute(spark, dag)
     for node, d in run.deliveries.items():
         print(f"{node}: {d.inputCount} in, {d.successCount} delivered")
+    run.discard()
     return 0
 
 

@@ -22,7 +22,8 @@ from ..operators import core
 from ..operators.base import Result
 from ..operators.files import read_listed_files
 from ..operators.parser import parse
-from ..sources.inputs import SOURCES, read
+from ..sources.inputs import SOURCES, Messages, open_source
+from ..sources.kept import remove, shared_path, written_once
 from ..sources.outputs import SINKS, Delivery, settle, write, write_dead_letters
 from .sql import sqleval
 
@@ -163,17 +164,23 @@ class Run:
     errors: dict[str, list[DataFrame]]
     sink_inputs: dict[str, DataFrame]
     deliveries: dict[str, Delivery] = field(default_factory=dict)
+    kept: list[str] = field(default_factory=list)
 
     def all_errors(self) -> DataFrame | None:
         frames = [e for es in self.errors.values() for e in es]
         return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
 
+    def discard(self) -> None:
+        """Removes the fetched messages; the run's DataFrames cannot be read any more."""
+        while self.kept:
+            remove(SparkSession.active(), self.kept.pop())
+
     def counters(self) -> dict[str, dict[str, int]]:
         """Output and error counts of each node (each runs a job)."""
         return {i: {"outputEventCount": df.count(), "errorEventCount": sum(e.count() for e in self.errors.get(i, []))} for i, df in self.outputs.items()}
 
 
-def plan(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame] | None = None, entry: DataFrame | None = None, streaming: bool = False) -> Run:
+def plan(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame | Result] | None = None, entry: DataFrame | None = None, streaming: bool = False) -> Run:
     """Builds the DataFrames of a graph without running any.
 
     ``inputs`` stand in for sources by node id; ``entry`` feeds the nodes without inputs of a graph that
@@ -186,7 +193,11 @@ def plan(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame] | None =
     for i in order:
         node, kind = dag.nodes[i], dag.kind(dag.nodes[i])
         if kind == "source":
-            frames = [(i, inputs[i] if inputs and i in inputs else read(spark, node.command, node.config, streaming=streaming))]
+            found = inputs[i] if inputs and i in inputs else open_source(spark, node.command, node.config, streaming=streaming)
+            given = found.result if isinstance(found, Messages) else found if isinstance(found, Result) else Result(found)
+            if given.errors is not None:
+                run.errors.setdefault(i, []).append(given.errors.withColumns({"nodeId": F.lit(i), "upstreamId": F.lit("")}))
+            frames = [(i, given.output)]
         elif not parents[i] and entry is not None:
             frames = [("", entry)]
         else:
@@ -212,9 +223,23 @@ def plan(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame] | None =
     return run
 
 
-def execute(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame] | None = None) -> Run:
-    """Runs a batch pipeline: every sink writes, failures go to the dead letters if the context names a place."""
-    run = plan(spark, dag, inputs=inputs)
+def execute(spark: SparkSession, dag: Dag, *, inputs: dict[str, DataFrame | Result] | None = None) -> Run:
+    """Runs a batch pipeline: every sink writes, failures go to the dead letters if the context names a place.
+
+    Messages are fetched once, into the shared folder: a queue gives each only once, and sinks and
+    dead letters are jobs of their own. ``Run.discard`` removes them; a run that fails leaves them there.
+    """
+    dag.validate()
+    given, kept = dict(inputs or {}), []
+    for i, node in dag.nodes.items():
+        if dag.kind(node) == "source" and i not in given:
+            found = open_source(spark, node.command, node.config)
+            if isinstance(found, Messages):
+                kept.append(shared_path(spark, f"messages-{i}"))
+                found = found.decoded(written_once(found.raw, kept[-1]))
+            given[i] = found
+    run = plan(spark, dag, inputs=given)
+    run.kept = kept
     for i, df in run.sink_inputs.items():
         run.deliveries[i] = write(df, dag.nodes[i].command, dag.nodes[i].config)
     place = dead_letter_path(dag.context)

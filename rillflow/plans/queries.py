@@ -5,7 +5,6 @@ All run on whole tables. Results are plain columns, so that both engines' values
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from ..operators.core import assertion, evaluate, keep, noop
 from ..operators.parser import parse
 from ..sources.encodings import decode, encode, read_files, write_files
 from ..sources.inputs import read
+from ..sources.kept import shared_path
 from ..sources.outputs import write
 from .dag import Dag, execute, plan
 from .flow import Flow
@@ -342,9 +342,7 @@ def encoding_xml(spark, d):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
+    return shared_path(spark, "queries")
 
 
 def through(name: str, encoding: str, source: str = "filesource", more: dict | None = None) -> None:

@@ -5,16 +5,31 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compiler import EVENT
 from ..functions.syntax import ExpressionError
+from ..operators.base import Result
 from .clients import ClientSource
 from .encodings import DECODED, decode, read_files
 
-SOURCES: dict[str, Callable[[SparkSession, dict, bool], DataFrame]] = {}
+
+@dataclass(frozen=True)
+class Messages:
+    """Messages as a service gave them, and how they become events and errors: those that cannot be read."""
+
+    raw: DataFrame
+    decoded: Callable[[DataFrame], Result]
+
+    @property
+    def result(self) -> Result:
+        return self.decoded(self.raw)
+
+
+SOURCES: dict[str, Callable[[SparkSession, dict, bool], DataFrame | Messages]] = {}
 
 
 def source(*names: str):
@@ -92,8 +107,7 @@ def stdin(spark, config, streaming=False):
         if not line.strip():
             break
         lines.append((line.rstrip("\n"),))
-    events, _ = decode(spark.createDataFrame(lines, "value string"), "value", encoding_of(config, "STRING_LINE"), schema=config.get("schema"))
-    return events
+    return messages(config, spark.createDataFrame(lines, "value string"), default="STRING_LINE")
 
 
 @source("s3rtsource")
@@ -110,10 +124,10 @@ def s3_realtime(spark, config, streaming=False):
     return df.select(*columns)
 
 
-def messages(spark, config, df: DataFrame, column: str = "value") -> DataFrame:
-    """Decoded events of a message column, metadata columns left behind."""
-    events, _ = decode(df, column, encoding_of(config, "JSON_OBJECT"), schema=config.get("schema"))
-    return events
+def messages(config, df: DataFrame, column: str = "value", *, default: str = "JSON_OBJECT", schema: str | None = None) -> Messages:
+    """Events of a message column, metadata columns left behind."""
+    encoding, schema = encoding_of(config, default), config.get("schema") or schema
+    return Messages(df, lambda raw: Result(*decode(raw, column, encoding, schema=schema)))
 
 
 @source("kafkasource")
@@ -123,14 +137,14 @@ def kafka(spark, config, streaming=False):
     options |= {f"kafka.{k}": v for k, v in (config.get("properties") or {}).items()}
     if streaming:
         options["maxOffsetsPerTrigger"] = str(config.get("maxOffsetsPerTrigger", 5000 * 200))
-    return messages(spark, config, (spark.readStream if streaming else spark.read).format("kafka").options(**options).load())
+    return messages(config, (spark.readStream if streaming else spark.read).format("kafka").options(**options).load())
 
 
 @source("kinesissource")
 def kinesis(spark, config, streaming=False):
     needed(config, "streamName")
     options = {"streamName": config["streamName"], "region": config.get("regionStr", ""), "startingposition": config.get("initialPosition", "TRIM_HORIZON")}
-    return messages(spark, config, (spark.readStream if streaming else spark.read).format("aws-kinesis").options(**options).load(), "data")
+    return messages(config, (spark.readStream if streaming else spark.read).format("aws-kinesis").options(**options).load(), "data")
 
 
 def event_hub(spark, config, streaming) -> DataFrame:
@@ -144,23 +158,26 @@ def event_hub(spark, config, streaming) -> DataFrame:
 
 @source("azureeventhubsource")
 def azure_event_hub(spark, config, streaming=False):
-    return messages(spark, config, event_hub(spark, config, streaming))
+    return messages(config, event_hub(spark, config, streaming))
 
 
 @source("azureiothubsource")
 def azure_iot_hub(spark, config, streaming=False):
-    return with_iothub(event_hub(spark, config, streaming), config)
+    return Messages(event_hub(spark, config, streaming), lambda raw: with_iothub(raw, config))
 
 
-def with_iothub(raw: DataFrame, config: dict) -> DataFrame:
+def with_iothub(raw: DataFrame, config: dict) -> Result:
     """Events with the ``_iothub`` envelope: device, enqueued time and properties from the message headers."""
     headers = F.map_from_entries(F.transform("headers", lambda h: F.struct(h.getField("key"), h.getField("value").cast("string"))))
     device = F.try_element_at(headers, F.lit("iothub-connection-device-id"))
     envelope = F.struct(device.alias("deviceId"), F.unix_millis(F.col("timestamp")).alias("enqueuedTime"), headers.alias("properties")).alias("_iothub")
-    schema = config.get("schema")
+    schema, text = config.get("schema"), F.col("value").cast("string")
+    parsed = F.try_parse_json(text)
+    broken = raw.where(parsed.isNull()).select(text.alias("event"), F.lit("can't read as JSON_OBJECT").alias("errorMessage"))
+    good = raw.where(parsed.isNotNull())
     if schema is None:
-        return raw.select(F.try_parse_json(F.col("value").cast("string")).alias(EVENT), envelope).where(f"{EVENT} is not null")
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r"), envelope).select("r.*", "_iothub")
+        return Result(good.select(parsed.alias(EVENT), envelope), broken)
+    return Result(good.select(F.from_json(text, schema).alias("r"), envelope).select("r.*", "_iothub"), broken)
 
 
 @source("jdbcsource")
@@ -180,12 +197,13 @@ def client(name: str):
     def build(spark, config, streaming=False):
         spark.dataSource.register(ClientSource)
         raw = (spark.readStream if streaming else spark.read).format("rillflow_client").option("client", name).option("config", json.dumps({k: v for k, v in config.items() if k != "schema"})).load()
-        events, _ = decode(raw, "value", "JSON_OBJECT" if name not in ("sqs", "pubsub", "mqtt", "activemq") else encoding_of(config, "JSON_OBJECT"), schema=config.get("schema") or SHAPES.get(name))
-        return events
+        return messages(config if name in QUEUES else config | {"encodingType": "JSON_OBJECT"}, raw, schema=SHAPES.get(name))
 
     return build
 
 
+# Services whose messages have an encoding of their own; the others' records come as JSON.
+QUEUES = {"sqs", "pubsub", "mqtt", "activemq"}
 # The shapes of services whose records are fixed.
 SHAPES = {
     "imap": "messageId string, `from` string, `to` array<string>, cc array<string>, subject string, bodyText string, bodyHtml string, headers map<string,string>, attachments array<struct<filename:string,contentType:string,contentBase64:string>>, receivedDate string",
@@ -195,8 +213,14 @@ for command, name in {"splunksource": "splunk", "elasticsearchsource": "elastics
     SOURCES[command] = client(name)
 
 
-def read(spark: SparkSession, command: str, config: dict | None = None, *, streaming: bool = False) -> DataFrame:
-    """The events of a source command."""
+def open_source(spark: SparkSession, command: str, config: dict | None = None, *, streaming: bool = False) -> DataFrame | Messages:
+    """The events of a source command, or the messages that hold them."""
     if command not in SOURCES:
         raise ExpressionError(f"unknown source {command}")
     return SOURCES[command](spark, config or {}, streaming)
+
+
+def read(spark: SparkSession, command: str, config: dict | None = None, *, streaming: bool = False) -> DataFrame:
+    """The events of a source command; a run of a graph gets unreadable messages too (:func:`open_source`)."""
+    found = open_source(spark, command, config, streaming=streaming)
+    return found.result.output if isinstance(found, Messages) else found

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.dag import Dag, Run, dead_letter_path, plan
-from ..sources.inputs import read
+from ..sources.inputs import Messages, open_source, read
 from ..sources.outputs import settle, write, write_dead_letters
 
 
@@ -24,13 +24,14 @@ def run_stream(spark: SparkSession, dag: Dag, checkpoint: str, *, available_now:
     for node in dag.nodes.values():
         if dag.kind(node) != "source":
             continue
-        events = read(spark, node.command, node.config, streaming=True)
+        found = open_source(spark, node.command, node.config, streaming=True)
+        events = found.raw if isinstance(found, Messages) else found
 
-        def one(batch: DataFrame, n: int, source=node.id) -> None:
+        def one(batch: DataFrame, n: int, source=node.id, found=found) -> None:
             batch.persist()
             try:
                 part = reachable(dag, source)
-                run = plan(batch.sparkSession, part, inputs={source: batch})
+                run = plan(batch.sparkSession, part, inputs={source: found.decoded(batch) if isinstance(found, Messages) else batch})
                 for i, df in run.sink_inputs.items():
                     run.deliveries[i] = write(df, part.nodes[i].command, part.nodes[i].config)
                 place, errors = dead_letter_path(dag.context), run.all_errors()

@@ -184,7 +184,10 @@ def test_mail_record_and_missing_libraries():
 
 def test_iot_envelope(spark):
     raw = spark.sql("""SELECT cast('{"t": 5}' AS binary) AS value, timestamp '2024-01-01' AS timestamp, array(named_struct('key', 'iothub-connection-device-id', 'value', cast('d1' AS binary))) AS headers""")
-    r = inputs.with_iothub(raw, {"schema": "t long"}).first()
+    bad = spark.sql("SELECT cast('{' AS binary) AS value, timestamp '2024-01-01' AS timestamp, cast(null AS array<struct<key:string,value:binary>>) AS headers")
+    got = inputs.with_iothub(raw.union(bad), {"schema": "t long"})
+    assert rows(got.errors) == [("{", "can't read as JSON_OBJECT")]
+    (r,) = got.output.collect()
     assert r["t"] == 5 and r["_iothub"]["deviceId"] == "d1" and r["_iothub"]["properties"]["iothub-connection-device-id"] == "d1"
 
 
@@ -284,6 +287,33 @@ def test_a_sink_that_fails_without_dead_letters_fails_the_run(spark):
     assert not service.requests
 
 
+def test_messages_are_fetched_once_and_unreadable_ones_reach_the_dead_letters(spark, tmp_path, monkeypatch):
+    from rillflow.plans.dag import Dag, execute
+
+    fetched = spark.sparkContext.accumulator(0)
+
+    def queue(spark, config, streaming=False):
+        @F.udf("string")
+        def fetch(i):
+            fetched.add(1)
+            return "{bad" if i == 3 else json.dumps({"a": i})
+
+        return inputs.messages(config, spark.range(5).select(fetch("id").alias("value")), schema="a long")
+
+    monkeypatch.setitem(SOURCES, "testqueue", queue)
+    sink = lambda name: {"id": name, "commandName": "s3sink", "config": {"path": str(tmp_path / name), "encodingType": "PARQUET"}}
+    nodes = [{"id": "in", "commandName": "testqueue", "config": {}, "outputs": ["x", "y"]}, sink("x"), sink("y")]
+    run = execute(spark, Dag.from_dict({"jobContext": {"dlqConfig": {"path": str(tmp_path)}}, "dag": nodes}))
+    assert fetched.value == 5
+    assert all(sorted(rows(spark.read.parquet(str(tmp_path / s)))) == [(0,), (1,), (2,), (4,)] for s in "xy")
+    (lost,) = spark.read.parquet(f"{tmp_path}/dead-letters").collect()
+    assert bytes(lost["value"]) == b"{bad" and lost["nodeId"] == "in"
+    (path,) = run.kept
+    run.discard()
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
 def test_delta_is_never_replaced_silently(spark, tmp_path):
     with pytest.raises(ExpressionError, match="Delta is not installed"):
         write(spark.createDataFrame([(1,)], "a long"), "deltalakesink", {"tablePath": str(tmp_path / "t")})
