@@ -190,6 +190,7 @@ sqls("sql_select_list_function", "select p_partkey as k, json_array_elements(reg
 sqls("sql_lateral_zip", "select p_partkey as k, json_array_elements(regexp_split_to_array(p_name, ' ')) as w, json_array_elements(regexp_split_to_array('1,2,3', ',')) as n from part", "SELECT p_partkey AS k, string_split(p_name, ' ')[i] AS w, ['1', '2', '3'][i] AS n FROM part, (SELECT unnest(range(1, 4)) AS i)")
 sqls("sql_lateral_subselect", "select e.vec_id as v, t.top from embeddings e, lateral (select max(x) as top from json_array_elements(e.embedding) x) t", "SELECT vec_id AS v, list_max(embedding)::DOUBLE AS top FROM embeddings")
 sqls("sql_regexp_split_to_table", "select count(*) as n from part, regexp_split_to_table(p_name, ' ')", "SELECT sum(len(string_split(p_name, ' ')))::BIGINT AS n FROM part")
+sqls("sql_json_each_text", "select x.key as k, count(*) as n, max(x.value) as top from orders o, json_each_text(json_build_object('s', o.o_orderstatus, 'p', o.o_orderpriority)) x group by x.key", "SELECT 's' AS k, count(*) AS n, max(o_orderstatus) AS top FROM orders UNION ALL SELECT 'p', count(*), max(o_orderpriority) FROM orders")
 sqls("sql_derived_table", "select x.n_regionkey as r, x.n from (select n_regionkey, count(*) as n from nation group by n_regionkey) x where x.n > 4", "SELECT n_regionkey::BIGINT AS r, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 4")
 sqls("sql_group_by", "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as q, min(l_tax) as lo, max(l_extendedprice) as hi from lineitem group by l_returnflag, l_linestatus")
 sqls("sql_group_by_expression", "select upper(l_returnflag) as f, sum(l_linenumber) as n from lineitem group by upper(l_returnflag)", "SELECT upper(l_returnflag) AS f, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")

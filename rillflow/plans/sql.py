@@ -159,6 +159,12 @@ class Query:
         if f.name == "regexp_split_to_table":
             t = T.ArrayType(T.StructType([T.StructField("row", STRING)]))
             return Value(F.transform(fn.pieces(*args), lambda x: F.struct(x.alias("row"))), t)
+        if f.name in ("json_each", "json_each_text"):
+            kind = "string" if f.name == "json_each_text" else "variant"
+            t = T.ArrayType(T.StructType([T.StructField("key", STRING), T.StructField("value", STRING if kind == "string" else T.VariantType())]))
+            text = fn.as_text(args[0]) if args[0].type == STRING else F.to_json(args[0].col)
+            pairs = F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", f"map<string,{kind}>"))
+            return Value(F.coalesce(pairs, F.array().cast(t)), t)
         raise ExpressionError(f"{f.name} is no set-returning function")
 
     # --- expressions -------------------------------------------------------------------------

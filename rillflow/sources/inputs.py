@@ -29,7 +29,7 @@ class Messages:
         return self.decoded(self.raw)
 
 
-SOURCES: dict[str, Callable[[SparkSession, dict, bool], DataFrame | Messages]] = {}
+SOURCES: dict[str, Callable[[SparkSession, dict, bool], DataFrame | Messages | Result]] = {}
 
 
 def source(*names: str):
@@ -112,16 +112,23 @@ def stdin(spark, config, streaming=False):
 
 @source("s3rtsource")
 def s3_realtime(spark, config, streaming=False):
-    """New objects of a bucket as a file stream; the checkpoint takes the queue's place. Oversized objects are left out."""
+    """New objects of a bucket as a file stream; the checkpoint takes the queue's place. Oversized objects are errors by their path."""
     needed(config, "path")
     df = read_files(spark, config["path"], encoding_of(config), schema=config.get("schema"), streaming=streaming, options={"recursiveFileLookup": "true", "ignoreMissingFiles": "true"} | stream_options(config, streaming))
+    path, most = F.col("_metadata.file_path"), config.get("maxObjectSizeBytes")
     columns = [F.col(f"`{c}`") for c in df.columns]
-    if config.get("maxObjectSizeBytes"):
-        df = df.where(F.col("_metadata.file_size") <= config["maxObjectSizeBytes"])
     if config.get("includeObjectMetadata"):
-        path = F.col("_metadata.file_path")
         columns += [F.regexp_extract(path, r"^\w+://([^/]*)/", 1).alias("__s3_bucket"), F.regexp_extract(path, r"^\w+://[^/]*/(.*)$", 1).alias("__s3_key")]
-    return df.select(*columns)
+    if not most:
+        return df.select(*columns)
+    reason = F.lit(f"object exceeds {most} bytes").alias("errorMessage")
+    if streaming:
+        # the stream tells of oversized objects only by their rows
+        raw = df.select(F.struct(*columns).alias("row"), path.alias("path"), (F.col("_metadata.file_size") <= most).alias("fits"))
+        return Messages(raw, lambda part: Result(part.where("fits").select("row.*"), part.where("not fits").select(F.col("path").alias("event"), reason).distinct()))
+    # listed without their content; the others' scan leaves them out by the file's size
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(config["path"])
+    return Result(df.where(F.col("_metadata.file_size") <= most).select(*columns), listed.where(F.col("length") > most).select(F.col("path").alias("event"), reason))
 
 
 def messages(config, df: DataFrame, column: str = "value", *, default: str = "JSON_OBJECT", schema: str | None = None) -> Messages:
@@ -213,8 +220,8 @@ for command, name in {"splunksource": "splunk", "elasticsearchsource": "elastics
     SOURCES[command] = client(name)
 
 
-def open_source(spark: SparkSession, command: str, config: dict | None = None, *, streaming: bool = False) -> DataFrame | Messages:
-    """The events of a source command, or the messages that hold them."""
+def open_source(spark: SparkSession, command: str, config: dict | None = None, *, streaming: bool = False) -> DataFrame | Messages | Result:
+    """The events of a source command, the messages that hold them, or events beside what could not be read."""
     if command not in SOURCES:
         raise ExpressionError(f"unknown source {command}")
     return SOURCES[command](spark, config or {}, streaming)
@@ -223,4 +230,5 @@ def open_source(spark: SparkSession, command: str, config: dict | None = None, *
 def read(spark: SparkSession, command: str, config: dict | None = None, *, streaming: bool = False) -> DataFrame:
     """The events of a source command; a run of a graph gets unreadable messages too (:func:`open_source`)."""
     found = open_source(spark, command, config, streaming=streaming)
-    return found.result.output if isinstance(found, Messages) else found
+    found = found.result if isinstance(found, Messages) else found
+    return found.output if isinstance(found, Result) else found

@@ -112,6 +112,13 @@ def test_file_system_source(spark, tmp_path):
     assert sum(map(len, shares)) == 9 and len(set.union(*shares)) == 9
     meta = read(spark, "s3rtsource", {"path": str(tmp_path), "encodingType": "TEXT", "maxObjectSizeBytes": 5, "includeObjectMetadata": True})
     assert meta.columns == ["__raw__", "__s3_bucket", "__s3_key"] and meta.count() == 1
+    config = {"path": str(tmp_path), "encodingType": "TEXT", "maxObjectSizeBytes": 5}
+    errors = rows(inputs.open_source(spark, "s3rtsource", config).errors)
+    assert len(errors) == 9 and all(path.endswith(".txt") and "5 bytes" in why for path, why in errors)
+    found, got = inputs.open_source(spark, "s3rtsource", config, streaming=True), []
+    stream = found.raw.writeStream.foreachBatch(lambda batch, n: got.extend([*rows(found.decoded(batch).output), *rows(found.decoded(batch).errors)])).option("checkpointLocation", str(tmp_path) + "-checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert len(got) == 10 and ("no",) in got and sorted(e for e in got if len(e) == 2) == sorted(errors)
     with pytest.raises(ExpressionError):
         read(spark, "fssource", {"encodingType": "TEXT"})
     with pytest.raises(ExpressionError):

@@ -44,6 +44,10 @@ CASES = {
     "select j->'k'->'m'->>1, (j->'k'->'m'->0)::int, j->'no'->'way' is null from texts": [("s", 5, True)],
     "select json_array_length(regexp_split_to_array(c, ',')) from texts": [(2,)],
     "select x.row from texts, regexp_split_to_table(c, ',') x": [("1",), ("2",)],
+    "select x.key, x.value->'m'->>1 from texts, json_each(j) x": [("k", "s")],
+    "select x.key, x.value from texts, json_each_text(j->'k') x": [("m", '[5,"s"]')],
+    "select x.key, x.value from json_each_text('{\"b\": 1, \"a\": null}') x order by x.key": [("a", None), ("b", "1")],
+    "select x.key from json_each('[1]') x": [],
     "select case when v > 5 then 'hi' when v > 0 then 'mid' end from records where o = 'y'": [(None,)],
     "select null::int, null::double precision, null::boolean, null::text, '12.7'::int, 'on'::bool": [(0, 0.0, False, None, 12, True)],
     "select round(2.5), round(-2.5), round(1.25, 1), trunc(-1.5), ceil(1.2), abs(-3)": [(3, -2, 1.3, -2, 2.0, 3.0)],
