@@ -298,7 +298,10 @@ class PiiModel:
         own = np.ones(len(flat), bool)
         own[np.r_[0, np.cumsum(lengths + 1)]] = False
         at = np.flatnonzero(own)
-        return self.rows[ids[at], 0] + self.rows[ids[at - 1], 1] + self.rows[ids[at + 1], 2], lengths
+        total = self.rows[ids[at], 0]
+        total += self.rows[ids[at - 1], 1]
+        total += self.rows[ids[at + 1], 2]
+        return total, lengths
 
     def decode(self, lines: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
         """The lines by number, with their words' labels; lines of like length are decoded together."""
@@ -309,7 +312,7 @@ class PiiModel:
         a = 0
         while a < len(order):
             b = a
-            while b < len(order) and (b == a or (b - a + 1) * lengths[order[b]] <= 200_000):
+            while b < len(order) and (b == a or (b - a + 1) * lengths[order[b]] <= 100_000):
                 b += 1
             part = order[a:b]
             places = np.repeat(starts[part] - np.cumsum(lengths[part]) + lengths[part], lengths[part]) + np.arange(lengths[part].sum())
@@ -392,7 +395,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def bounded(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def bounded(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together stay near ``limit`` characters."""
     a = 0
     while a < len(texts):
