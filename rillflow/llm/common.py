@@ -169,8 +169,15 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+WORD_BYTES = 1 << 20  # of words and their places that come to the driver at once
+
+
 def bit_array(cells: DataFrame, bits: int) -> np.ndarray:
-    """The low ``bits`` of a column of hashes as a bit array, joined on the driver from words made by the tasks."""
+    """The low ``bits`` of a column of hashes as a bit array, joined on the driver from words made by the tasks.
+
+    The words are made at once in a few tasks a core and come to the driver in parts of about WORD_BYTES:
+    a local iterator runs a job for each partition, one after the other.
+    """
     sliced = cells.selectExpr(f"`{cells.columns[0]}` & {(1 << bits) - 1}L AS at").groupBy(F.expr("shiftright(at, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 AS int)))").alias("mask"))
 
     def dense(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +186,11 @@ def bit_array(cells: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], names=["at", "mask"])
 
     out = np.zeros(1 << max(0, bits - 5), np.uint32)
-    for row in sliced.mapInArrow(dense, "at binary, mask binary").toLocalIterator():
+    sliced = sliced.coalesce(2 * cells.sparkSession.sparkContext.defaultParallelism)
+    made = keep(sliced.mapInArrow(dense, "at binary, mask binary"), "words")
+    for row in made.coalesce(max(1, 2 * out.nbytes // WORD_BYTES)).toLocalIterator():
         out[np.frombuffer(row[0], "<u4")] |= np.frombuffer(row[1], "<u4")
+    discard(made)
     return out
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rillflow.llm import decontamination, jaccard, queries, substrings, topk
+from rillflow.llm import common, decontamination, jaccard, queries, substrings, topk
 
 WORDS = [f"w{i}" for i in range(60)]
 CLASHING = "doc_id long, text string, n long, key string, node long, found string, label int"
@@ -127,6 +127,24 @@ def test_copies_bring_one_set(spark):
         assert jaccard.shingle_table(docs, ids, 3, max_bits, False).count() == len(nodes)
 
 
+def test_bit_arrays_run_no_job_for_each_partition(spark):
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    cells = spark.range(3000).selectExpr("xxhash64(id) AS at")
+    want = np.unique(np.array([r[0] for r in cells.collect()]) & ((1 << 20) - 1))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("bits", "bit array")
+        got = common.bit_array(cells, 20)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert np.array_equal(np.flatnonzero(np.unpackbits(got.view(np.uint8), bitorder="little")), want)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("bits")) <= 10
+
+
 def test_tree_finds_every_pair_and_opens_few():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 2**63, 120, dtype=np.int64).view(np.uint64)) for _ in range(300)]
