@@ -78,6 +78,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage: they return the heap that a finished stage needed, which the next one's Python workers may need."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, batches, id_text, in_small_batches, shingles
+from .common import BitTest, Hasher, batches, id_text, in_small_batches, shingles
 
 WORD = re.compile(r"[^\W_]+")
 FILTER_BITS = 22
-MASK = U64((1 << FILTER_BITS) - 1)
 SCHEMA = "doc_id long, item_id long, item_shingles long, matched long, containment double"
 
 
@@ -65,10 +64,11 @@ class ContainmentIndex:
         for at, s in enumerate(self.sets):
             classes.setdefault(len(s).bit_length(), []).append(at)
         self.partitions = [Partition(members, self.sets, self.need) for _, members in sorted(classes.items())]
-        #: bits of the partitions that may have a hash
-        self.filter = np.zeros(1 << FILTER_BITS, np.uint64)
-        for bit, p in enumerate(self.partitions):
-            self.filter[(p.hashes & MASK).astype(np.int64)] |= U64(1 << bit)
+        #: whether a sketch may have a hash, a bit each: every Python worker holds this
+        there = np.zeros(1 << FILTER_BITS, bool)
+        for p in self.partitions:
+            there[(p.hashes & np.uint64(len(there) - 1)).astype(np.int64)] = True
+        self.filter = BitTest(np.packbits(there, bitorder="little").view("<u4"))
 
     def shingles_of(self, hasher: Hasher, text: str | None) -> np.ndarray:
         """All shingles of a document, and its runs as short as the index's short items."""
@@ -80,12 +80,10 @@ class ContainmentIndex:
         """(item_id, item size, shingles shared) of each item that is contained; ``found`` are a document's shingles."""
         if not self.partitions or not len(found):
             return
-        marks = self.filter[(found & MASK).astype(np.int64)]
-        hit = np.flatnonzero(marks)
-        if not len(hit):
+        near = np.unique(found[self.filter(found)])
+        if not len(near):
             return
-        near, marks = found[hit], marks[hit]
-        met = [p.candidates(np.unique(near[(marks >> U64(bit)) & U64(1) != 0])) for bit, p in enumerate(self.partitions) if p.least <= len(found)]
+        met = [p.candidates(near) for p in self.partitions if p.least <= len(found)]
         candidates = np.unique(np.concatenate([np.zeros(0, np.int64), *met]))
         if not len(candidates):
             return

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -314,6 +315,27 @@ def test_contained_items_equal_brute_force(spark):
     assert decontamination.contained_items(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_containment_index_is_small_and_its_filter_loses_no_shingle():
+    """Each Python worker holds one: 32 MB of marks, whatever the items, made the pipeline's executors too large."""
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(rng.randint(1, 80)))) for i in range(200)]
+    index = decontamination.ContainmentIndex(items, 5, 0.8)
+    assert len(pickle.dumps(index)) < 2 << 20
+    every = np.concatenate([p.hashes for p in index.partitions])
+    assert index.filter(every).all()
+    others = common.mix(np.arange(100_000, dtype=np.uint64))
+    assert index.filter(others).mean() < 0.01
+    assert all(i in {x for x, *_ in index.matches(index.shingles_of(common.Hasher(), text))} for i, text in items)
+
+
+def test_executors_collect_their_garbage_between_stages(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    before = full()
+    common.give_back(spark)
+    assert full() >= before + spark.sparkContext.defaultParallelism
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 24)).astype(np.float32)
