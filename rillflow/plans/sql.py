@@ -128,7 +128,7 @@ class Query:
                 else:
                     on = Scope([*scope.relations, relation], self.outer)
                     how = {"left": "left", "right": "right", "full": "full"}.get(s.join, "inner")
-                    df = df.join(right, fn.truth(self.expr(s.on, on)), how)
+                    df = df.join(right, self.matching(s.on, on), how)
             scope.relations.append(relation)
         if df is None:
             df = self.spark.range(1).select()
@@ -232,13 +232,43 @@ class Query:
         raise ExpressionError(f"unknown operator {e.op}")
 
     def condition(self, e, scope: Scope, known: dict | None = None) -> Column:
-        """A WHERE condition: conjunctions and disjunctions stay plain, as null drops the row anyway."""
+        """A condition of WHERE, HAVING or ON: conjunctions and disjunctions stay plain, as null drops the row or pair anyway."""
         if isinstance(e, Op) and e.op in ("and", "or"):
             x, y = (self.condition(x, scope, known) for x in e.args)
             # a null left side makes the whole null, so 'null or true' drops the row too
             return x & y if e.op == "and" else x | (y & self.expr(e.args[0], scope, known).col.isNotNull()) if may_be_null(e.args[0]) else x | y
         return fn.truth(self.expr(e, scope, known))
 
+    def matching(self, e, scope: Scope) -> Column:
+        """The condition of an explicit join. Its conjuncts stay plain, so that equalities make equi-joins and filters reach scans.
+        If some may fail, the whole follows as it is written, for pairs that meet the first conjunct and those that can't fail."""
+        parts = conjuncts(e)
+        plain = [c for i, c in enumerate(parts) if i == 0 or self.settled(c, scope)]
+        if len(plain) == len(parts):
+            return self.condition(e, scope)
+        return reduce(lambda x, y: x & y, [self.veiled(c, scope) for c in plain]) & fn.truth(self.expr(e, scope))
+
+    def settled(self, e, scope: Scope) -> bool:
+        """Whether a condition can't fail: columns and literals of one kind are compared, nothing is computed or converted."""
+        if isinstance(e, Op) and e.op in ("and", "or", "not"):
+            return all(self.settled(a, scope) for a in e.args)
+        args = e.args if isinstance(e, Op) and e.op in ("=", "!=", "<", ">", "<=", ">=", "in", "between", "is null", "is not null") else (e,)
+        if not all(isinstance(a, (Col, Lit)) for a in args):
+            return False
+        types = [v.type for v in (self.expr(a, scope) for a in args) if v.kind != "null"]
+        kinds = {kind_of(t) for t in types}
+        if not isinstance(e, Op):
+            return kinds <= {"boolean"}
+        return len(set(types)) < 2 or kinds in ({"number"}, {"string"})
+
+    def veiled(self, e, scope: Scope) -> Column:
+        """A condition whose equal sides Spark doesn't take for one: else it infers from them that what may fail holds for one side's rows alone."""
+        if isinstance(e, Op) and e.op in ("=", "in") and len(e.args) == 2:
+            a, b = (self.expr(x, scope) for x in e.args)
+            if a.kind not in ("null", "variant"):
+                return fn.compared("=", Value(F.greatest(a.col, a.col), a.type), b).col
+        return self.condition(e, scope)
+
     # --- SELECT ------------------------------------------------------------------------------
 
     def build(self, q: Select) -> DataFrame:
@@ -373,6 +403,10 @@ class Query:
         return F.collect_list(converted(a[0].col, a[0].type, t)), T.ArrayType(t)
 
 
+def conjuncts(e) -> list:
+    return [c for a in e.args for c in conjuncts(a)] if isinstance(e, Op) and e.op == "and" else [e]
+
+
 def may_be_null(e) -> bool:
     return not (isinstance(e, Op) and e.op in ("is null", "is not null", "not"))
 

@@ -6,7 +6,7 @@ import pytest
 
 from rillflow import run_sql
 from rillflow.functions.syntax import ExpressionError
-from tests.conftest import rows
+from tests.conftest import SF, rows
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +92,42 @@ def test_zip_pads_the_shorter_list(spark, tables):
 def test_comma_joins_become_equi_joins(spark, tables):
     plan = run_sql("select r.name from records r, event e where r.n = e.a", tables, spark)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "n long, o string")
+    b = spark.createDataFrame([(1, 5, "7"), (2, 3, "8"), (9, 0, "abc"), (None, 0, "1")], "k long, d long, t string")
+    return {"a": a, "b": b}
+
+
+LEFT, RIGHT = [(1, None), (2, None), (None, None)], [(None, 1), (None, 2), (None, 9), (None, None)]
+MATCHES = {
+    "a.n = b.k and b.d > 4": [(1, 1)],
+    "a.n = b.k and a.o = 'y' and b.d between 1 and 9": [(2, 2)],
+    "a.n is not null and a.n = b.k": [(1, 1), (2, 2)],
+    "a.n = b.k and (b.d = 5 or a.o = 'y')": [(1, 1), (2, 2)],
+    # what fails for rows without a partner is not computed for them
+    "a.n = b.k and 10 / b.d > 2": [(2, 2)],
+    "a.n = b.k and 7 < b.t": [(2, 2)],
+    "b.d >= 0 and a.n = b.k and (b.d = 5 or 10 / b.d = 3)": [(1, 1), (2, 2)],
+}
+
+
+@pytest.mark.parametrize("how", ["", "left", "right", "full"])
+@pytest.mark.parametrize("on", MATCHES)
+def test_explicit_joins_on_several_conditions_become_equi_joins(spark, pairs, on, how):
+    df = run_sql(f"select a.n, b.k from a {how} join b on {on}", pairs, spark)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    found = MATCHES[on]
+    alone = [r for r in LEFT if how in ("left", "full") and r[0] not in [n for n, _ in found]]
+    alone += [r for r in RIGHT if how in ("right", "full") and r[1] not in [k for _, k in found]]
+    assert rows(df) == sorted(found + alone, key=repr)
+
+
+def test_filters_of_explicit_joins_reach_the_scan(spark):
+    from rillflow.plans.queries import QUERIES
+
+    plan = QUERIES["sql_explicit_joins"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "GreaterThan(o_totalprice,450000.0)" in plan
